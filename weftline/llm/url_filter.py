@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import bloom
 from weftline.llm.base import lower_ascii, read
 
 #: verdict, rule; the part before the first / is the host.
@@ -54,20 +55,6 @@ def canonical(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), tail))
 
 
-def bits(key: Column, n_blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a key, and the bit it sets in each of the block's eight words."""
-    h = F.xxhash64(key, F.lit("bits"))
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"), [F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(8)]
-
-
-def bloom(keys: DataFrame, n_blocks: int = N_BLOCKS) -> DataFrame:
-    """``block, w0 .. w7`` from the column ``canon``: at most ``n_blocks`` rows."""
-    block, at = bits(F.col("canon"), n_blocks)
-    one = F.lit(1).cast("long")
-    set_bits = keys.select(block.alias("block"), *(F.call_function("shiftleft", one, b).alias(f"w{i}") for i, b in enumerate(at)))
-    return set_bits.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)))
-
-
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, null without one."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -85,12 +72,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url
     p = pages.select(pages[id_col].alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canon"))
     p = p.withColumn("rule", rule).withColumn("ruled", ruled)
     keys = listed.select(canonical(listed["url"]).alias("canon")).where("canon IS NOT NULL").distinct()
-    block, at = bits(F.col("canon"), n_blocks)
-    tried = p.withColumn("block", block).join(F.broadcast(bloom(keys, n_blocks)), "block", "left")
-    passes = F.lit(True)
-    for i, b in enumerate(at):
-        passes = passes & (F.call_function("shiftrightunsigned", F.col(f"w{i}"), b).bitwiseAND(F.lit(1).cast("long")) == 1)
-    tried = tried.withColumn("maybe", F.coalesce(passes, F.lit(False))).select("page_id", "host", "path", "canon", "rule", "ruled", "maybe")
+    tried = bloom.probe(p, "canon", bloom.build(keys, "canon", n_blocks), n_blocks, "maybe")
     hits = tried.where("maybe").join(keys.withColumn("listed", F.lit(True)), "canon", "left")
     both = hits.unionByName(tried.where("NOT maybe").withColumn("listed", F.lit(False)))
     is_listed = F.coalesce("listed", F.lit(False))
