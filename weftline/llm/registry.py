@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, ngram_join, secret_scan, source_mix, url_filter
+from weftline.llm import decontaminate, exact_dedup, ngram_join, secret_scan, source_mix, url_filter
 
 QUERIES = {
     "op2_source_mix": source_mix.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_ngram_join": ngram_join.query,
     "op6_exact_dedup": exact_dedup.query,
     "op9_url_filter": url_filter.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
