@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, ngram_join, quality, secret_scan, source_mix, url_filter
+from weftline.llm import decontaminate, exact_dedup, lm_score, ngram_join, quality, secret_scan, source_mix, url_filter
 
 QUERIES = {
     "op2_source_mix": source_mix.query,
     "op4_secret_scan": secret_scan.query,
     "op5_ngram_join": ngram_join.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_lm_score": lm_score.query,
     "op8_quality": quality.query,
     "op9_url_filter": url_filter.query,
     "op10_decontaminate": decontaminate.query,
