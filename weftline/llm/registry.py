@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, lm_score, ngram_join, quality, secret_scan, source_mix, url_filter
+from weftline.llm import decontaminate, exact_dedup, line_dedup, lm_score, ngram_join, quality, secret_scan, source_mix, url_filter
 
 QUERIES = {
     "op2_source_mix": source_mix.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_secret_scan": secret_scan.query,
     "op5_ngram_join": ngram_join.query,
     "op6_exact_dedup": exact_dedup.query,
