@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, line_dedup, lm_score, ngram_join, quality, secret_scan, source_mix, url_filter
+from weftline.llm import decontaminate, exact_dedup, line_dedup, lm_score, ngram_join, quality, secret_scan, source_mix, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_source_mix": source_mix.query,
     "op3_line_dedup": line_dedup.query,
     "op4_secret_scan": secret_scan.query,
