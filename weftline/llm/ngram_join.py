@@ -11,10 +11,12 @@ columns of the prefix block, a and b being their sizes and o the overlap that th
 similarity asks for. The product of the prefix blocks is accumulated column by column;
 pairs below that bound are dropped, the others get their full overlap from the whole rows.
 
-Columns that more than ``wide`` rows share are not multiplied out. A row is only carried
-on in them if it has enough such columns for the bound to be met through them; those rows
-are linked to the least row of each wide column first, and multiplied only across
-the components that remain, so a large group of near copies costs a star and not a square.
+Columns that more than ``wide`` rows share are not multiplied out one by one. A row is
+only carried on in them if it has enough such columns for the bound to be met through
+them. Those rows fall into groups that share wide columns; the groups are cut into blocks
+of about ``BLOCK`` incidences and multiplied block by block in numpy over whole rows. Such a
+task keeps the overlap counts to itself and returns the links that join its components,
+so a large group of near copies costs no row per pair.
 
 Words are runs of anything but space and ASCII controls 9 to 13, with A-Z in lower case.
 Defined cases: a text with fewer than five words has its whole word sequence as its one
@@ -25,6 +27,7 @@ link with each other; an empty table gives an empty result. Other columns are no
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -40,6 +43,10 @@ from weftline.llm.components import components
 WORDS, PERCENT = 5, 80
 #: A column with more rows than this is handled by stars.
 WIDE = 24
+#: Incidences in a block of the product of wide columns: two blocks of 8-byte numbers meet in a task.
+BLOCK = 500_000
+#: Least length of a prefix block: a passage that many short documents share stays a small part of it.
+SHORT = 80
 #: 65,536 blocks of 64 bytes: 4 MB.
 NEED_BLOCKS = 1 << 16
 MUL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -71,20 +78,32 @@ def signature(s: np.ndarray) -> int:
 
 
 def prefix_len(n, percent: int = PERCENT):
-    """Length of the prefix block of a row with n shingles."""
-    return np.minimum(n, n - -(-percent * n // 100) + 1 + -(-n // 20))
+    """Length of the prefix block of a row with n shingles: a twentieth more than a link needs, and ``SHORT`` at least."""
+    return np.minimum(n, np.maximum(SHORT, n - -(-percent * n // 100) + 1 + -(-n // 20)))
 
 
 def least_overlap(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def shared_least(a, b, percent: int = PERCENT):
+    """Columns of the prefix block that linked rows of these sizes share at least."""
+    o = least_overlap(a, b, percent)
+    return np.minimum(prefix_len(a, percent) - (a - o), prefix_len(b, percent) - (b - o))
+
+
+@lru_cache(maxsize=100_000)
+def least_any(n: int, percent: int = PERCENT) -> int:
+    """The least of that over all sizes that may link with n."""
+    return max(1, int(shared_least(n, np.arange(-(-n * percent // 100), n * 100 // percent + 1), percent).min()))
+
+
 def sql_prefix(n: Column, percent: int) -> Column:
-    return F.least(n, n - F.ceil(n * percent / 100) + 1 + F.ceil(n / 20))
+    return F.least(n, F.greatest(F.lit(SHORT), n - F.ceil(n * percent / 100) + 1 + F.ceil(n / 20)))
 
 
 def sql_bound(a: Column, b: Column, percent: int) -> Column:
-    """Columns of the prefix block that linked rows of these sizes share at least."""
+    """The same as ``shared_least``."""
     o = F.ceil((a + b) * percent / (100 + percent))
     return F.least(sql_prefix(a, percent) - (a - o), sql_prefix(b, percent) - (b - o))
 
@@ -117,7 +136,7 @@ def _prefixes(width: int, percent: int) -> Callable:
 
 
 def _multiply(wide: int, percent: int) -> Callable:
-    """Over rows sorted by token and signature: the products of narrow columns (kind 0), the rows of wide ones (kind 1)."""
+    """Over rows sorted by token and signature: the products of narrow columns (kind 0), the rows of wide ones (kind 1) with the least bound of their size."""
 
     def emit(kind: int, a, b, na, nb) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(a), 200_000):
@@ -142,7 +161,9 @@ def _multiply(wide: int, percent: int) -> Callable:
             big[0] |= flowing is not None and token[0] == flowing
             done[-1] = batch is None or big[-1]  # else its other rows may be in the next batch
             rows = np.repeat(big & done, sizes)
-            yield from emit(1, token[rows], sig[rows], n[rows], n[rows])
+            if rows.any():
+                each, back = np.unique(n[rows], return_inverse=True)
+                yield from emit(1, token[rows], sig[rows], n[rows], np.array([least_any(int(x), percent) for x in each], np.int32)[back])
             for size in np.unique(sizes[~big & done]):
                 if size > 1:
                     i, j = np.triu_indices(size, 1)
@@ -183,18 +204,50 @@ def _overlaps(percent: int) -> Callable:
     return run
 
 
-def links_of(pairs: DataFrame, rows: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs of signatures whose whole rows overlap enough. A filter of fixed size lets only the documents in question into the shuffle."""
-    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+def _product(percent: int) -> Callable:
+    """The links between the rows of two blocks (or within one) that join components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, block = table.column("sig").to_numpy(), table.column("block").to_numpy()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        rows = [np.frombuffer(r.as_buffer(), np.uint64) for r in table.column("row")]
+        n = np.array([len(r) for r in rows])
+        ends = np.cumsum(n)
+        _, column = np.unique(np.concatenate(rows), return_inverse=True)
+        holders = np.repeat(np.arange(len(rows)), n)[np.argsort(column, kind="stable")]
+        starts = np.r_[0, np.cumsum(np.bincount(column))]
+        root = np.arange(len(rows))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i in np.flatnonzero(block == lo):
+            o = np.bincount(np.concatenate([holders[starts[c] : starts[c + 1]] for c in column[ends[i] - n[i] : ends[i]]]), minlength=len(rows))
+            fits = 100 * o >= percent * (n[i] + n - o)
+            fits &= (block == hi) if lo != hi else (np.arange(len(rows)) > i)
+            for j in np.flatnonzero(fits):
+                x, y = find(i), find(j)
+                if x != y:
+                    root[x] = y
+                    out.append((sig[i], sig[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def sets_of(sigs: DataFrame, rows: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """``sig, row`` of the signatures. A filter of fixed size lets only the documents in question into the shuffle."""
     need = keep(sigs.join(reps, "sig").select(F.col("rep").alias("doc_id"), "sig"), "ngram-need")
     maybe = bloom.probe(rows, "doc_id", bloom.build(need, "doc_id", NEED_BLOCKS), NEED_BLOCKS, "needed").where("needed").select("doc_id", "body")
     sets = maybe.mapInArrow(_needed(width), "doc_id long, sig long, row binary").join(need, ["doc_id", "sig"], "left_semi").dropDuplicates(["sig"])
-    sets = keep(sets.select("sig", "row"), "ngram-sets", "none")
-    wide = pairs.join(sets.select(F.col("sig").alias("a"), F.col("row").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("row").alias("y")), "b")
-    return keep(wide.select("a", "b", "x", "y").mapInArrow(_overlaps(percent), "a long, b long"), "ngram-links")
+    return keep(sets.select("sig", "row"), "ngram-sets", "none")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, wide: int = WIDE) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("body"))
     sized = keep(rows.mapInArrow(_sizes(width), "doc_id long, n long, sig long"), "ngram-sizes")
@@ -202,37 +255,31 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     tokens = rows.select("doc_id", "body").mapInArrow(_prefixes(width, percent), "token long, sig long, n int")
     products = keep(tokens.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_multiply(wide, percent), "kind byte, a long, b long, na int, nb int"), "ngram-products")
-    crowd = products.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("na").alias("n"))
-    k = keep(crowd.groupBy("sig", "n").agg(F.count("*").alias("k")), "ngram-wide").select("sig", "k")
+    crowd = products.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("na").alias("n"), F.col("nb").alias("least"))
+    k = keep(crowd.groupBy("sig", "n", "least").agg(F.count("*").alias("k")), "ngram-wide")
     counted = products.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     ka, kb = k.select(F.col("sig").alias("a"), F.col("k").alias("ka")), k.select(F.col("sig").alias("b"), F.col("k").alias("kb"))
     slack = F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
-    narrow = counted.join(ka, "a", "left").join(kb, "b", "left").where(F.col("c") + slack >= sql_bound(F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-    # a row linked through wide columns alone has at least as many of them as the least bound over all sizes that may link with it
-    small, large = F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)
-    least = F.least(sql_bound(F.col("n"), small, percent), sql_bound(F.col("n"), large, percent)) - 3
-    crowd = keep(crowd.join(k, "sig").where(F.col("k") >= F.greatest(F.lit(1), least)), "ngram-crowd")
-    hubs = crowd.groupBy("token").agg(F.min("sig").alias("a"))
-    stars = crowd.join(hubs, "token").where("sig != a").select("a", F.col("sig").alias("b")).distinct()
-    first = narrow.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(stars).distinct()
-    links = links_of(keep(first, "ngram-pairs"), rows, reps, width, percent)
-    roots = components(links, "a", "b")
-
-    # rows of one wide column in different components: no link between them has been seen
-    placed = keep(crowd.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "ngram-placed")
-    split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    placed = placed.join(split, "token", "left_semi")
-    x, y = placed.select("token", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "k", "root"))), placed.select("token", *(F.col(c).alias(f"y_{c}") for c in ("sig", "n", "k", "root")))
-    bound = sql_bound(F.col("x_n"), F.col("y_n"), percent)
-    near = 100 * F.least("x_n", "y_n").cast("long") >= percent * F.greatest("x_n", "y_n").cast("long")
-    crossed = x.join(y, "token").where((F.col("x_sig") < F.col("y_sig")) & (F.col("x_root") != F.col("y_root")) & near & (F.least("x_k", "y_k") >= bound))
-    crossed = crossed.groupBy("x_sig", "y_sig", "x_n", "y_n").agg(F.count("*").alias("c")).where(F.col("c") >= bound)
-    crossed = keep(crossed.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b")), "ngram-pairs")
-    if not crossed.isEmpty():
-        roots = components(links.unionByName(links_of(crossed, rows, reps, width, percent)), "a", "b")
-
-    named = roots.withColumnRenamed("node", "sig").join(reps, "sig")
+    narrow = counted.join(ka, "a", "left").join(kb, "b", "left").where(F.col("c") + slack >= sql_bound(F.col("na"), F.col("nb"), percent))
+    narrow = keep(narrow.select("a", "b"), "ngram-pairs")
+
+    crowd = crowd.join(k.where("k >= least").select("sig"), "sig", "left_semi").select("token", "sig")
+    hubs = crowd.groupBy("token").agg(F.min("sig").alias("hub"))
+    groups = components(crowd.join(hubs, "token").select("hub", "sig"), "hub", "sig").select(F.col("node").alias("sig"), F.col("root").alias("grp"))
+    groups = keep(groups.join(k.select("sig", "n"), "sig"), "ngram-groups")
+
+    wanted = narrow.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(groups.select("sig")).distinct()
+    sets = sets_of(wanted, rows, reps, width)
+    both = narrow.join(sets.select(F.col("sig").alias("a"), F.col("row").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("row").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(_overlaps(percent), "a long, b long")
+
+    cut = groups.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    cut = groups.join(cut, "grp").select("sig", "grp", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"))
+    cut = cut.join(sets, "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("sig", "row", "grp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    links = keep(links.unionByName(cut.groupBy("grp", "lo", "hi").applyInArrow(_product(percent), "a long, b long")), "ngram-links")
+
+    named = components(links, "a", "b").withColumnRenamed("node", "sig").join(reps, "sig")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = named.join(lowest, "root").select("sig", "component_id")
     group = reps.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
