@@ -187,9 +187,10 @@ def test_lm_rare_words_join(spark, monkeypatch):
 def test_lm_gradients_and_learning():
     r = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in lm_score.fresh(np.ones(lm_score.N_IDS)).items()}
-    w, t = r.integers(0, lm_score.N_IDS, (3, 32)), r.integers(0, lm_score.N_IDS, (3, 16))
-    w[0, :16] = -1
-    t[1, 9:] = -1
+    n = lm_score.BLOCK
+    w, t = r.integers(0, lm_score.N_IDS, (3, 2 * n)), r.integers(0, lm_score.N_IDS, (3, n))
+    w[0, :n] = -1
+    t[1, n // 2 :] = -1
     _, d = lm_score.gradients(p, w, t)
     for k in p:
         i = np.unravel_index(np.abs(d[k]).argmax(), d[k].shape)
