@@ -36,7 +36,7 @@ BROADCAST_ROWS = 500_000
 #: 16,384 blocks of 64 bytes: 1 MB.
 DOC_BLOCKS = 1 << 14
 #: Counters of 16 bits; windows with more shingles go to the exact check unfiltered.
-LANES, MOST = 16, 65_535
+MOST = 32_767
 
 
 def shingles(words: Column, width: int) -> Column:
@@ -46,22 +46,30 @@ def shingles(words: Column, width: int) -> Column:
     return F.when(n >= width, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: Column) -> Column:
-    """Bit b is set if most of the hashes have it set. Counts 64 bits in 16 longs of four counters each."""
-    ones = 0x0001000100010001
-    shift = lambda x, j: F.call_function("shiftrightunsigned", x, j.cast("int"))
-    lanes = F.aggregate(
+def lanes_of(hashes: Column, lanes: int) -> Column:
+    """How many of the hashes have each bit: lane j counts the bits j, j + lanes, and so on, in counters of ``lanes`` bits."""
+    ones = sum(1 << i for i in range(0, 64, lanes))
+    return F.aggregate(
         hashes,
-        F.array_repeat(F.lit(0).cast("long"), LANES),
-        lambda acc, h: F.transform(acc, lambda x, j: x + shift(h, j).bitwiseAND(F.lit(ones))),
-    )
-    most = F.size(hashes)
-    word = lambda x, j: sum(
-        (F.when(F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF)) * 2 > most, F.call_function("shiftleft", F.lit(1).cast("long"), (j + 16 * k).cast("int"))).otherwise(F.lit(0).cast("long")) for k in range(4)),
-        F.lit(0).cast("long"),
+        F.array_repeat(F.lit(0).cast("long"), lanes),
+        lambda acc, h: F.transform(acc, lambda x, j: x + F.call_function("shiftrightunsigned", h, j.cast("int")).bitwiseAND(F.lit(ones))),
     )
-    folded = F.aggregate(F.transform(lanes, word), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(F.size(hashes) <= MOST, folded)
+
+
+def majority_bits(hashes: Column, lanes: int) -> Column:
+    zero, one, most = F.lit(0).cast("long"), F.lit(1).cast("long"), F.size(hashes)
+    count = lambda x, k: F.shiftrightunsigned(x, lanes * k).bitwiseAND(F.lit((1 << lanes) - 1))
+    word = lambda x, j: sum((F.when(count(x, k) * 2 > most, F.call_function("shiftleft", one, (j + lanes * k).cast("int"))).otherwise(zero) for k in range(64 // lanes)), zero)
+    return F.aggregate(F.transform(lanes_of(hashes, lanes), word), zero, lambda a, b: a.bitwiseOR(b))
+
+
+def simhash(hashes: Column) -> Column:
+    """Bit b is set if most of the hashes have it set: counted in 8 longs up to 127 hashes, in 16 up to ``MOST``, null beyond.
+
+    The topmost counter shares its long with the sign, hence the limits at half its range.
+    """
+    n = F.size(hashes)
+    return F.when(n <= 127, majority_bits(hashes, 8)).when(n <= MOST, majority_bits(hashes, 16))
 
 
 def blocks(fp: Column, radius: int) -> Column:
@@ -96,16 +104,26 @@ def one_width(docs: DataFrame, items: DataFrame, width: int, radius: int, percen
     wanted = bloom.build(hits.select("key").distinct(), "key", DOC_BLOCKS)
     found = bloom.probe(docs, "key", wanted, DOC_BLOCKS, "hit").where("hit").dropDuplicates(["key"])
     found = found.select("key", F.col("id").alias("doc_id"), shingles(F.col("words"), width).alias("row"))
-    windows = starts.join(found, "key").withColumn("part", F.slice("row", F.col("start") + 1, F.col("m")))
-    windows = keep(windows.select("key", "doc_id", "item", "start", "part", simhash(F.col("part")).alias("fp")), "bench-windows")
+    found = keep(found, "bench-docs")
+    part = F.slice("row", F.col("start") + 1, F.col("m"))
+    windows = keep(starts.join(found, "key").select("key", "item", "start", "m", simhash(part).alias("fp")), "bench-windows")
 
     index = items.select("item", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b")).select("item", "item_fp", "b.no", "b.value")
-    cut = windows.where("fp IS NOT NULL").select("key", "item", "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("key", "item", "start", "fp", "b.no", "b.value")
-    near = cut.join(index, ["item", "no", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("key", "item", "start").distinct()
-    close = windows.join(near, ["key", "item", "start"], "left_semi").unionByName(windows.where("fp IS NULL"))
-
-    said = close.select("key", "doc_id", "item", "start", F.size("part").alias("mw"), F.explode("part").alias("h")).groupBy("key", "doc_id", "item", "start", "mw", "h").agg(F.count("*").alias("cw"))
-    same = said.join(counts, ["item", "h"]).groupBy("key", "doc_id", "item", "item_id", "start", "mw", "m", "length").agg(F.sum(F.least("cw", "ci")).alias("o"))
+    cut = windows.where("fp IS NOT NULL").select("key", "item", "start", "m", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("key", "item", "start", "m", "fp", "b.no", "b.value")
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    first = F.array_position(F.transform(blocks(apart, radius), lambda b: b["value"]), 0) - 1  # a pair comes out of the first block it agrees in
+    near = cut.join(index, ["item", "no", "value"]).where((F.bit_count(apart) <= radius) & (first == F.col("no"))).select("key", "item", "start", "m")
+    near = near.unionByName(windows.where("fp IS NULL").select("key", "item", "start", "m"))
+
+    close = near.join(found, "key").select("key", "doc_id", "item", "start", part.alias("part"))
+    close = close.join(items.select("item", "item_id", "m", "length", F.col("row").alias("item_row")), "item").withColumn("mw", F.size("part"))
+    once = lambda c: F.size(F.array_distinct(c)) == F.size(c)
+    close = close.withColumn("plain", once("part") & once("item_row"))
+    names = ["key", "doc_id", "item", "item_id", "start", "mw", "m", "length"]
+    same = close.where("plain").select(*names, F.size(F.array_intersect("part", "item_row")).cast("long").alias("o"))
+    said = close.where("NOT plain").select(*names, F.explode("part").alias("h")).groupBy(*names, "h").agg(F.count("*").alias("cw"))
+    counted = said.join(counts.select("item", "h", "ci"), ["item", "h"]).groupBy(*names).agg(F.sum(F.least("cw", "ci")).alias("o"))
+    same = same.unionByName(counted)
     either = F.col("mw") + F.col("m") - F.col("o")
     good = same.where(100 * F.col("o") >= percent * either).withColumn("similarity", F.col("o") / either)
     best = good.groupBy("key", "doc_id", "item", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "mw")).alias("best"))
