@@ -11,8 +11,9 @@ or same document and earlier start). Such strings are found in five steps:
    the first are repeats as a whole. Hashes with different contexts are noted in a
    bitmap of fixed size.
 3. The contexts of noted hashes are gathered (a second pass over the texts), equal ones
-   once, in tasks by hash. A task joins them, ``BLOCK`` bytes at a time, into one text and builds its
-   suffix array by Lyndon-prefix grouping.
+   once, in tasks by hash, ``BLOCK`` bytes at a time. Ends of a context that hold no string whose rolling
+   hash is found twice cannot match and are trimmed; contexts that have become equal count once. What is left
+   is joined into one text, whose suffix array is built by Lyndon-prefix grouping.
 4. In the array, equal strings are neighbours: compared byte by byte, all but the first in
    document order are repeats. A hash with more than ``BLOCK`` bytes of different contexts is cut
    into blocks; each block is sorted together with every other one.
@@ -162,43 +163,90 @@ def _contexts(width: int, gram: int, bitmap: np.ndarray, bits: int) -> Callable:
     return run
 
 
-def repeats(contexts: list[tuple[int, int, bytes]], width: int) -> list[tuple[int, int]]:
-    """``doc, start`` of each string of the contexts (doc, start, bytes) that another of them holds at an earlier place."""
-    text = np.zeros(sum(len(c) for _, _, c in contexts) + len(contexts) + 1, np.int64)
-    doc, at, whole = (np.zeros(len(text), np.int64) for _ in range(3))
-    k = 0
-    for d, s, c in contexts:
-        n = len(c)
-        text[k : k + n] = np.frombuffer(c, np.uint8).astype(np.int64) + 2
-        text[k + n] = 1
-        doc[k : k + n], at[k : k + n] = d, np.arange(s, s + n)
-        whole[k : k + n - width + 1] = 1
-        k += n + 1
+def rolling(b: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` numbers, from runs of powers of two."""
+    h, mul, m = b.astype(np.uint64) * MIX, MUL, 1
+    out, done = None, 0
+    while True:
+        if width & m:
+            out = h if out is None else out[: len(h) - done] * np.uint64(mul) + h[done:]
+            done += m
+        if 2 * m > width:
+            return out
+        h = h[:-m] * np.uint64(mul) + h[m:]
+        mul, m = mul * mul % (1 << 64), 2 * m
+
+
+def joined(contexts: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts as one text (bytes + 2, each followed by 1, the whole by 0); each context's place; where strings of ``width`` bytes start."""
+    sizes = np.array([len(c) for _, _, c in contexts])
+    at = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    text = np.frombuffer(b"\0".join(c for _, _, c in contexts), np.uint8).astype(np.int64) + 2
+    text = np.r_[text, 1, 0]
+    text[at[1:] - 1] = 1
+    n = sizes - width + 1
+    starts = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    return text, at, starts
+
+
+def trimmed(contexts: list[tuple[int, int, bytes]], width: int) -> list[tuple[int, int, bytes]]:
+    """What may match: from the first to the last string of each context whose hash occurs twice."""
+    text, at, starts = joined(contexts, width)
+    _, back, times = np.unique(rolling(text, width)[starts], return_inverse=True, return_counts=True)
+    starts = starts[times[back] > 1]
+    of = np.searchsorted(at, starts, "right") - 1
+    head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+    tail = np.r_[head[1:] - 1, len(of) - 1] if len(of) else of
+    out = []
+    for k, x, y in zip(of[head].tolist(), (starts[head] - at[of[head]]).tolist(), (starts[tail] - at[of[tail]]).tolist(), strict=True):
+        d, s, c = contexts[k]
+        out.append((d, s + x, c[x : y + width]))
+    return out
+
+
+def repeats(contexts: list[tuple[int, int, bytes]], width: int) -> list[tuple[int, int, int]]:
+    """``doc, from, to`` of each string of the contexts (doc, start, bytes) that another of them holds at an earlier place."""
+    found, first = [], {}
+    for d, s, c in sorted(trimmed(contexts, width)):
+        if c in first:
+            if first[c] != (d, s):
+                found.append((d, s, s + len(c)))
+        else:
+            first[c] = (d, s)
+    if len(first) < 2:
+        return found
+    text, at, starts = joined([(*place, c) for c, place in first.items()], width)
+    places = np.array(list(first.values()), np.int64)
+    whole = np.zeros(len(text), bool)
+    whole[starts] = True
     order = np.array(suffix_array(text.tolist()))
-    order = order[whole[order] == 1]
+    order = order[whole[order]]
     equal = np.zeros(len(order), bool)
     view = np.lib.stride_tricks.sliding_window_view(text.astype(np.uint16), width)
     for lo in range(1, len(order), 50_000):
         hi = min(len(order), lo + 50_000)
         equal[lo:hi] = (view[order[lo:hi]] == view[order[lo - 1 : hi - 1]]).all(1)
+    of = np.searchsorted(at, order, "right") - 1
+    doc, start = places[of, 0], places[of, 1] + order - at[of]
     group = np.cumsum(~equal)
-    by = np.lexsort((at[order], doc[order], group))
-    g, d, s = group[by], doc[order][by], at[order][by]
-    head = np.r_[True, g[1:] != g[:-1]]
-    first = np.maximum.accumulate(np.where(head, np.arange(len(g)), 0))
-    later = (d != d[first]) | (s != s[first])
-    return list(dict.fromkeys(zip(d[later].tolist(), s[later].tolist(), strict=True)))
+    by = np.lexsort((start, doc, group))
+    g, d, s = group[by], doc[by], start[by]
+    head = np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], np.arange(len(g)), 0))
+    later = (d != d[head]) | (s != s[head])
+    d, s = d[later], s[later]
+    by = np.lexsort((s, d))
+    d, s = d[by], s[by]
+    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)]) if len(d) else d
+    ends = np.r_[cut[1:] - 1, len(d) - 1] if len(d) else d
+    return found + list(zip(d[cut].tolist(), s[cut].tolist(), (s[ends] + width).tolist(), strict=True))
 
 
 def _suffixes(width: int, block: int) -> Callable:
     """Over rows sorted by hash, context and place."""
 
-    def ranges(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    def ranges(found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         if found:
-            d, s = (np.array(x, np.int64) for x in zip(*sorted(found), strict=True))
-            cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + width)])
-            ends = np.r_[cut[1:] - 1, len(d) - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(s[cut]), pa.array(s[ends] + width)], ["doc", "from", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["doc", "from", "to"])
 
     def several(run: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         """A hash whose contexts fill more than a block: every two blocks meet."""
