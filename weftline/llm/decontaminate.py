@@ -46,21 +46,19 @@ def shingles(words: Column, width: int) -> Column:
     return F.when(n >= width, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def lanes_of(hashes: Column, lanes: int) -> Column:
-    """How many of the hashes have each bit: lane j counts the bits j, j + lanes, and so on, in counters of ``lanes`` bits."""
-    ones = sum(1 << i for i in range(0, 64, lanes))
-    return F.aggregate(
-        hashes,
-        F.array_repeat(F.lit(0).cast("long"), lanes),
-        lambda acc, h: F.transform(acc, lambda x, j: x + F.call_function("shiftrightunsigned", h, j.cast("int")).bitwiseAND(F.lit(ones))),
-    )
-
-
 def majority_bits(hashes: Column, lanes: int) -> Column:
-    zero, one, most = F.lit(0).cast("long"), F.lit(1).cast("long"), F.size(hashes)
+    """Lane j of the fold counts the bits j, j + lanes, and so on, in counters of ``lanes`` bits; one more lane counts the hashes, so that
+    they are evaluated once."""
+    ones, zero, one = sum(1 << i for i in range(0, 64, lanes)), F.lit(0).cast("long"), F.lit(1).cast("long")
+    bits = lambda h, j: F.call_function("shiftrightunsigned", h, j.cast("int")).bitwiseAND(F.lit(ones))
     count = lambda x, k: F.shiftrightunsigned(x, lanes * k).bitwiseAND(F.lit((1 << lanes) - 1))
-    word = lambda x, j: sum((F.when(count(x, k) * 2 > most, F.call_function("shiftleft", one, (j + lanes * k).cast("int"))).otherwise(zero) for k in range(64 // lanes)), zero)
-    return F.aggregate(F.transform(lanes_of(hashes, lanes), word), zero, lambda a, b: a.bitwiseOR(b))
+
+    def finish(acc: Column) -> Column:
+        most = F.element_at(acc, -1)
+        word = lambda x, j: sum((F.when(count(x, k) * 2 > most, F.call_function("shiftleft", one, (j + lanes * k).cast("int"))).otherwise(zero) for k in range(64 // lanes)), zero)
+        return F.aggregate(F.transform(F.slice(acc, 1, lanes), word), zero, lambda a, b: a.bitwiseOR(b))
+
+    return F.aggregate(hashes, F.array_repeat(zero, lanes + 1), lambda acc, h: F.transform(acc, lambda x, j: x + F.when(j < lanes, bits(h, j)).otherwise(one)), finish)
 
 
 def simhash(hashes: Column) -> Column:
