@@ -120,6 +120,25 @@ def test_lines(spark, wide):
     assert left[1] is None and sum(t.count("LINE") for t in left.values() if t) == 1
 
 
+def test_lines_without_a_fingerprint(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    docs = []
+    for n in (4, 6, 10, 30):
+        base = [word() for _ in range(n)]
+        for c in range(n // 4 + 2):
+            w = list(base)
+            for at in r.sample(range(n), c):
+                w[at] = word()
+            docs.append((len(docs), " ".join(w)))
+    made = table(spark, docs)
+    for wide in (16, 2):
+        got = {d.doc_id: (d.n_lines, d.removed) for d in line_dedup.line_dedup(made, wide=wide, radius=None).collect()}
+        assert got == removed_lines(docs, radius=64)
+    pinned = removed_lines(docs)
+    assert got != pinned and sum(x[1] != "" for x in got.values()) > sum(x[1] != "" for x in pinned.values())
+
+
 def test_line_links_in_bands(spark):
     pairs = spark.createDataFrame([("a" * 500, "a" * 420 + "b" * 80), ("a" * 500, "a" * 390 + "b" * 110), ("abcde", "abcdX"), ("abc", "xyz")], "x string, y string")
     assert [r.ok for r in pairs.select(line_dedup.alike(F.col("x"), F.col("y"), 80).alias("ok")).collect()] == [True, False, True, False]
