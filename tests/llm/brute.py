@@ -5,9 +5,6 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-
-import xxhash
-
 WORD = r"[^\x20\x09-\x0D]+"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -72,21 +69,18 @@ def distance(a, b):
     return p[-1]
 
 
-def removed_lines(docs, percent=80, radius=3):
+def removed_lines(docs, percent=80):
     at = defaultdict(list)
     for d, t in docs:
         for k, line in enumerate((t or "").split("\n")):
             if n := re.sub(r"\s+", " ", line.lower()).strip(" "):
                 at[n].append((d, k))
-    lines, prints = list(at), []
-    for n in lines:
-        hs = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in n.split(" ")]
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
+    lines = list(at)
     g = Groups(range(len(lines)))
     for i in range(len(lines)):
         for j in range(i):
             m = max(len(lines[i]), len(lines[j]))
-            if (prints[i] ^ prints[j]).bit_count() <= radius and min(len(lines[i]), len(lines[j])) * 100 >= m * percent and distance(lines[i], lines[j]) <= m * (100 - percent) // 100:
+            if min(len(lines[i]), len(lines[j])) * 100 >= m * percent and distance(lines[i], lines[j]) <= m * (100 - percent) // 100:
                 g.join(i, j)
     groups, gone = defaultdict(list), defaultdict(set)
     for i, n in enumerate(lines):

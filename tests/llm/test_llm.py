@@ -7,7 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from brute import base_spans, leaks, near_groups, removed_lines, repeats, unigrams
+from brute import base_spans, distance, leaks, near_groups, removed_lines, repeats, unigrams
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, exact_dedup, line_dedup, lm_score, ngram_join, quality, registry, secret_scan, source_mix, substring_dedup, url_filter
@@ -100,7 +100,7 @@ def test_mix_targets(spark):
     assert by["s"] == (10, 20.0) and by[None] == (1500, 1510 * 1.5 - 20)
 
 
-@pytest.mark.parametrize("wide", [16, 2])
+@pytest.mark.parametrize("wide", [32, 2])
 def test_lines(spark, wide):
     r = random.Random(9)
     base = [" ".join("".join(r.choices("abcdef", k=4)) for _ in range(30)) for _ in range(6)]
@@ -112,7 +112,7 @@ def test_lines(spark, wide):
             if r.random() < 0.6:
                 w[r.randrange(30)] = "zzzz"
             lines.append(" ".join(w))
-        docs.append((50 + i, "\n".join([*lines, "", "  Same   LINE "])))
+        docs.append((50 + i, "\n".join([*lines, "", "  Same   LINE\u00a0"])))
     made = table(spark, docs)
     got = line_dedup.line_dedup(made, wide=wide)
     assert {r.doc_id: (r.n_lines, r.removed) for r in got.collect()} == removed_lines(docs)
@@ -120,28 +120,59 @@ def test_lines(spark, wide):
     assert left[1] is None and sum(t.count("LINE") for t in left.values() if t) == 1
 
 
-def test_lines_without_a_fingerprint(spark):
-    r = random.Random(10)
-    word = lambda: "".join(r.choices("abcdefgh", k=5))
+def test_line_links_against_edit_similarity_alone(spark):
+    """Pairs of lines of 5 to 80 words with changed, lost, added and swapped words; the share of those with edit similarity 0.8 that are found."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrst", k=r.randint(2, 9)))
+    docs, want, single = [], set(), set()
+    for n in (5, 8, 12, 20, 40, 80):
+        for changes in sorted({1, max(1, n // 8), max(1, n // 5)}):
+            for kind in ("change", "lose", "add", "swap"):
+                for _ in range(8):
+                    a = [word() for _ in range(n)]
+                    b = list(a)
+                    for _ in range(changes):
+                        i = r.randrange(len(b) - 1)
+                        b[i : i + 2] = {"change": [word(), b[i + 1]], "lose": [b[i + 1]], "add": [b[i], word(), b[i + 1]], "swap": [b[i + 1], b[i]]}[kind]
+                    docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(b))]
+                    most = max(len(docs[-1][1]), len(docs[-2][1])) * 20 // 100
+                    if distance(docs[-2][1], docs[-1][1]) <= most:
+                        want.add(docs[-1][0])
+                        single |= {docs[-1][0]} if changes == 1 else set()
+    got = {d.doc_id for d in line_dedup.line_dedup(table(spark, docs)).where("n_removed > 0").collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 300
+    assert len(got & single) >= 0.97 * len(single) > 100
+
+
+def test_lines_one_word_apart_among_many_that_share_it(spark):
+    """A wide block: every line shares its middle, so that blocks are split by fingerprint and stars."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    shared = ["the same old story of"]
     docs = []
-    for n in (4, 6, 10, 30):
-        base = [word() for _ in range(n)]
-        for c in range(n // 4 + 2):
-            w = list(base)
-            for at in r.sample(range(n), c):
-                w[at] = word()
-            docs.append((len(docs), " ".join(w)))
-    made = table(spark, docs)
-    for wide in (16, 2):
-        got = {d.doc_id: (d.n_lines, d.removed) for d in line_dedup.line_dedup(made, wide=wide, radius=None).collect()}
-        assert got == removed_lines(docs, radius=64)
-    pinned = removed_lines(docs)
-    assert got != pinned and sum(x[1] != "" for x in got.values()) > sum(x[1] != "" for x in pinned.values())
-
-
-def test_line_links_in_bands(spark):
-    pairs = spark.createDataFrame([("a" * 500, "a" * 420 + "b" * 80), ("a" * 500, "a" * 390 + "b" * 110), ("abcde", "abcdX"), ("abc", "xyz")], "x string, y string")
-    assert [r.ok for r in pairs.select(line_dedup.alike(F.col("x"), F.col("y"), 80).alias("ok")).collect()] == [True, False, True, False]
+    for _ in range(150):
+        a = [word() for _ in range(8)] + shared + [word() for _ in range(8)]
+        b = list(a)
+        b[2] = word()
+        docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(b))]
+    got = {d.doc_id: d.removed for d in line_dedup.line_dedup(table(spark, docs), wide=4).collect()}
+    assert got == {d: "0" if d % 2 else "" for d, _ in docs}
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    docs = [(1, "some line of text here\nx y z"), (1, "some line of text here"), (None, "some line of text here"), (None, None), (None, "other\nother"), (2, "Some LINE of text here ")]
+    got = sorted((r.doc_id or 0, r.n_lines, r.removed) for r in line_dedup.line_dedup(table(spark, docs)).collect())
+    assert got == [(0, 1, ""), (0, 1, ""), (0, 2, "1"), (1, 1, "0"), (1, 2, "0"), (2, 1, "0")]
+
+
+def test_very_long_lines_are_linked(spark):
+    r = random.Random(14)
+    a = ["".join(r.choices("abcdefgh", k=5)) for _ in range(40_000)]
+    b = list(a)
+    for i in r.sample(range(len(b)), 2000):
+        b[i] = "zz"
+    docs = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(reversed(a)))]
+    assert [x.removed for x in line_dedup.line_dedup(table(spark, docs)).orderBy("doc_id").collect()] == ["", "0", ""]
 
 
 def forge_token():

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.base import keep
+from weftline.llm.base import drop, keep
 
 ROUNDS = 60
 
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = keep(small, "links")
+        before, edges = edges, keep(small, "links")
+        drop(before)
         after = _stamp(edges)
         if after == stamp:
             break
