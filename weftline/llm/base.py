@@ -46,6 +46,12 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text, null as empty: with the id they name a row among rows that share ids."""
+    body = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(body).alias("k1"), F.xxhash64(F.lit("row"), body).alias("k2"))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
