@@ -78,20 +78,21 @@ def blocks(fp: Column, radius: int) -> Column:
 
 
 def keyed(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``key, id, words``; rows alike in id and text share their key."""
+    """``key, id, words``; the key is 128 bits of id and lower-cased text, so rows alike in both share it."""
     rows = table.select(table[id_col].alias("id"), F.lower(table[text_col]).alias("body"))
-    return rows.select(F.xxhash64("id", "body").alias("key"), "id", words_of(F.col("body")).alias("words"))
+    key = F.struct(F.xxhash64("id", "body").alias("k1"), F.xxhash64(F.lit("row"), "id", "body").alias("k2"))
+    return rows.select(key.alias("key"), "id", words_of(F.col("body")).alias("words"))
 
 
 def one_width(docs: DataFrame, items: DataFrame, width: int, radius: int, percent: int) -> DataFrame:
     """``doc_id, item_id, start, n_words, similarity`` for the items whose shingles have ``width`` words."""
     items = items.withColumn("row", shingles(F.col("words"), width))
     items = keep(items.select(F.col("key").alias("item"), F.col("id").alias("item_id"), F.size("words").alias("length"), F.size("row").alias("m"), simhash(F.col("row")).alias("item_fp"), "row"), "bench-items")
-    counts = items.select("item", "item_id", "m", "length", F.explode("row").alias("h")).groupBy("item", "item_id", "m", "length", "h").agg(F.count("*").alias("ci"))
+    counts = items.select("item", "item_id", "m", "length", F.explode_outer("row").alias("h")).groupBy("item", "item_id", "m", "length", "h").agg(F.count("*").alias("ci"))
     index = counts.select("h", "item", "m", "length")
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
-    at = docs.select("key", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"), width)).alias("pos", "h"))
+    at = docs.select("key", F.size("words").alias("n"), F.posexplode_outer(shingles(F.col("words"), width)).alias("pos", "h"))  # outer: else the optimizer adds a filter that makes the shingles twice
     hits = keep(at.join(index, "h").select("key", "n", "pos", "item", "m", "length").distinct(), "bench-hits")
 
     back = F.lag("pos").over(Window.partitionBy("key", "item").orderBy("pos"))
@@ -125,11 +126,11 @@ def one_width(docs: DataFrame, items: DataFrame, width: int, radius: int, percen
     either = F.col("mw") + F.col("m") - F.col("o")
     good = same.where(100 * F.col("o") >= percent * either).withColumn("similarity", F.col("o") / either)
     best = good.groupBy("key", "doc_id", "item", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "mw")).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), (F.col("best.mw") + width - 1).cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
+    return best.select("key", "doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), (F.col("best.mw") + width - 1).cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
-    """The best window of each document and item that match: ``doc_id, item_id, start, n_words, similarity``."""
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, radius: int, percent: int) -> DataFrame:
+    """``decontaminate`` with the key of the document's row."""
     docs, items = keyed(docs, id_col, text_col), keyed(benchmark, item_col, item_text_col).dropDuplicates(["key"]).where(F.size("words") > 0)
     width = F.least(F.size("words"), F.lit(WORDS))
     widths = [r[0] for r in items.select(width).distinct().orderBy(width).collect()]  # at most five
@@ -137,11 +138,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return reduce(DataFrame.unionByName, parts)
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
+    """The best window of each document and item that match: ``doc_id, item_id, start, n_words, similarity``."""
+    return matches(docs, benchmark, id_col, text_col, item_col, item_text_col, radius, percent).drop("key")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a match, with all their columns."""
-    hit = keep(decontaminate(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "bench-docs")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The documents without a match, with all their columns.
+
+    A row's key is its id and text, so rows with null or repeated ids are judged by their own texts, and rows alike in both together. Null, empty
+    and blank texts match nothing and stay.
+    """
+    hit = keep(matches(docs, read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", RADIUS, PERCENT).select("key").distinct(), "bench-docs")
+    body = F.lower(docs["text"])
+    key = F.struct(F.xxhash64("doc_id", body).alias("k1"), F.xxhash64(F.lit("row"), "doc_id", body).alias("k2"))
+    rows = bloom.probe(docs.select("*", key.alias("__key")), "__key", bloom.build(hit, "key", DOC_BLOCKS), DOC_BLOCKS, "__maybe")
+    clean = rows.where("__maybe").join(hit.withColumnRenamed("key", "__key"), "__key", "left_anti")
+    return rows.where("NOT __maybe").select(*docs.columns).unionByName(clean.select(*docs.columns))
