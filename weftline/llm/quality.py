@@ -4,7 +4,7 @@ Nine heuristic labellers vote good, bad or nothing on each document. The vote pa
 all documents are counted (at most 3^9 of them) and expectation-maximisation estimates
 each labeller's accuracy and the share of good documents from the counts. The posterior
 of a document's pattern is its soft label. On a bounded sample of documents
-(``sample_rows``, those with the least hash of their id) a logistic regression on
+(``sample_rows``, those with the least hash of id and text) a logistic regression on
 hashed word-shape features learns these labels, and its score decides on every document.
 
 Labellers (share of words unless said otherwise):
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.base import read
+from weftline.llm.base import drop, keep, read
 
 LABELLERS = ("marks", "shout", "bang", "top", "echo", "variety", "letters", "flow", "tails")
 #: Bad from, good up to (shares that speak against a text).
@@ -165,17 +165,30 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], share: float) -> np.nd
     return w
 
 
-def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = Words()
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(measure(t, known)[0])) for t in b.column(0).to_pylist()], pa.string())], ["votes"])
+def score_of(w: np.ndarray, at: np.ndarray, x: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -50, 50))))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = Words()
-    for b in batches:
-        got = [measure(t, known) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(g[0])) for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], ["votes", "at", "x"])
+def _measured(edge: int) -> Callable:
+    """Counts of vote patterns (``order`` null), and the features of the rows whose hash of id and text is below ``edge``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            counts, rows = Counter(), []
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                of, at, x = measure(t, known)
+                said = pattern(votes(of))
+                counts[said] += 1
+                order = xxhash.xxh3_64_intdigest(f"{doc}|{t or ''}".encode("utf-8", "surrogatepass")) >> 1
+                if order < edge:
+                    rows.append((said, 0, order, at.tolist(), x.tolist()))
+            rows += [(said, n, None, None, None) for said, n in counts.items()]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["votes", "n", "order", "at", "x"])
+
+    return run
 
 
 def _scores(w: np.ndarray, prior: float, label: dict[str, float], threshold: float) -> Callable:
@@ -187,19 +200,36 @@ def _scores(w: np.ndarray, prior: float, label: dict[str, float], threshold: flo
                 of, at, x = measure(t, known)
                 says.append(pattern(votes(of)))
                 label_p.append(label.get(says[-1], prior))
-                score.append(float(1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -50, 50)))) if len(at) else 0.0)
+                score.append(score_of(w, at, x) if len(at) else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(says, pa.string()), pa.array(label_p, pa.float64()), pa.array(score, pa.float64()), pa.array([s >= threshold for s in score], pa.bool_())], ["doc_id", "votes", "label_prob", "score", "kept"])
 
     return run
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: ``doc_id, votes, label_prob, score, kept``."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("body"))
-    counted = rows.select("body").mapInArrow(_patterns, "votes string").groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("body"))
+
+
+def learned(rows: DataFrame, sample_rows: int) -> tuple[float, dict[str, float], np.ndarray]:
+    """The share of good documents, each vote pattern's probability of being good, and the scorer's weights.
+
+    One pass counts the patterns and takes the sample: of the documents whose hash of id and text is low enough for twice the sample, those with
+    the least hash, as features.
+    """
+    below = min(1.0, 2 * sample_rows / max(1, rows.count()))
+    seen = keep(rows.mapInArrow(_measured(int(below * (1 << 63))), "votes string, n long, order long, at array<int>, x array<double>"), "quality-votes")
+    counted = seen.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     _, share, label = estimate({r["votes"]: r["n"] for r in counted})
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("body").mapInArrow(_features, "votes string, at array<long>, x array<double>").collect()
+    sample = seen.where("at IS NOT NULL").orderBy("order", "votes").limit(sample_rows).collect()
     w = fit([(np.array(r["at"], np.int64), np.array(r["x"]), label[r["votes"]]) for r in sample if r["at"]], share)
+    drop(seen)
+    return share, label, w
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: ``doc_id, votes, label_prob, score, kept``."""
+    rows = rows_of(docs, id_col, text_col)
+    share, label, w = learned(rows, sample_rows)
     return rows.mapInArrow(_scores(w, share, label, threshold), "doc_id long, votes string, label_prob double, score double, kept boolean")
 
 
@@ -207,7 +237,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
 
+def _kept(at: int, w: np.ndarray, threshold: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            keep = []
+            for t in b.column(at).to_pylist():
+                _, place, x = measure(t, known)
+                keep.append(len(place) > 0 and score_of(w, place, x) >= threshold)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns."""
-    kept = quality(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The documents that the classifier keeps, with all their columns.
+
+    Each row is judged by its own text as it passes: rows with null or repeated ids have a decision of their own, equal texts the same one; null, empty
+    and blank texts go; nothing is shuffled.
+    """
+    _, _, w = learned(rows_of(docs, "doc_id", "text"), SAMPLE_ROWS)
+    return docs.mapInArrow(_kept(docs.columns.index("text"), w, THRESHOLD), docs.schema)
