@@ -1,13 +1,16 @@
 """The training-data operators against brute force, and their defined cases."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
-from brute import base_spans, distance, leaks, near_groups, removed_lines, repeats, unigrams
+from brute import WORD, base_spans, distance, leaks, near_groups, removed_lines, repeats, unigrams
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, exact_dedup, line_dedup, lm_score, ngram_join, quality, registry, secret_scan, source_mix, substring_dedup, url_filter
@@ -71,6 +74,26 @@ def test_suffix_array():
         assert suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    r = random.Random(8)
+    noise = "".join(r.choices("abcdefgh", k=300))
+    for d in (None, 1):
+        got = {x.n_bytes: (x.n_removed, x.n_spans) for x in substring_dedup.substring_dedup(table(spark, [(d, "a" * 301), (d, noise), (d, noise)])).collect()}
+        assert got == {301: (300, 1), 300: (0, 0)}
+    twice = [(None, noise), (None, noise + "x" * 50), (7, "y" + noise)]
+    got = sorted((x.n_bytes, x.n_removed) for x in substring_dedup.substring_dedup(table(spark, twice)).collect())
+    assert sorted(n for _, n in got) == [0, 300, 300]
+
+
+def test_substrings_longer_than_a_part(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PART", 2048)
+    r = random.Random(9)
+    long = "".join(r.choices("abcdefghijklmnop", k=9000))
+    docs = [(1, long), (2, long[500:7000] + "q" * 120 + long[:300]), (3, "z" * 5000)]
+    got = substring_dedup.substring_dedup(table(spark, docs)).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == repeats(docs)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 600])
 def test_substrings(spark, block):
     passage = "The quick brown fox jumps over the lazy dog and runs on through the dark green forest until the morning comes. " * 2
@@ -80,23 +103,79 @@ def test_substrings(spark, block):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def mix_by_hand(docs, golden=source_mix.GOLDEN, block_words=1024):
+    """The schedule slot by slot, and the words it takes, one by one."""
+    sizes = [(d, s, len(re.findall(WORD, t or ""))) for d, t, s in docs]
+    sources = sorted({s for _, s, _ in sizes}, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    total = {s: sum(n for _, x, n in sizes if x == s) for s in sources}
+    left, target = dict(total), {}
+    budget = 1.5 * sum(total.values())
+    while left:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in left)
+        full = [s for s in left if 2 * total[s] <= level * weight[s]]
+        target |= {s: 2.0 * total[s] for s in full} if full else {s: level * weight[s] for s in left}
+        left = {s: left[s] for s in left if s not in full} if full else {}
+    b = {s: max(1, min(block_words, -(-total[s] // 512))) for s in sources}
+    blocks = {s: -(-total[s] // b[s]) for s in sources}
+    need = {s: math.ceil(target[s] * blocks[s] / total[s]) if total[s] else 0 for s in sources}
+    edges, at = {}, 0
+    for s in sources:
+        edges[s] = ((at << 62) // max(1, sum(need.values())), ((at + need[s]) << 62) // max(1, sum(need.values())))
+        at += need[s]
+    visits, rank = Counter(), Counter()
+    for n in range(at):
+        x = n * golden % (1 << 62)
+        s = next(s for s in sources if edges[s][0] <= x < edges[s][1])
+        if rank[s] < 2 * blocks[s]:
+            visits[s, rank[s] % blocks[s]] += 1
+        rank[s] += 1
+    taken = {}
+    for s in sources:
+        place = 0
+        for d, n in sorted(((d, n) for d, x, n in sizes if x == s), key=lambda r: (hashlib.md5(f"0:{r[0]}".encode()).hexdigest(), r[0])):
+            taken[d] = sum(visits[s, (place + i) // b[s]] for i in range(n))
+            place += n
+    return {d: (n, total[s], target[s], taken[d]) for d, s, n in sizes}
+
+
 def test_mix(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
-    for block_words in (64, 1024):
-        got = source_mix.source_mix(spark.read.parquet(f"{sf}/documents.parquet"), block_words=block_words).collect()
-        want = con.execute(source_mix.ORACLE).df()
-        assert sorted((r.doc_id, r.taken) for r in got) == sorted(zip(want.doc_id, want.taken, strict=True))
-        assert all(r.taken <= 2 * r["size"] for r in got)
-        for s in {r.source for r in got}:
-            own = [r for r in got if r.source == s]
-            assert sum(r.taken for r in own) == int(own[0].target)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = source_mix.source_mix(docs).collect()
+    want = con.execute(source_mix.ORACLE).df()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted(zip(want.doc_id, want.taken, strict=True))
+    for golden in (source_mix.GOLDEN, 0, 1 << 61):
+        by = {r.doc_id: r.taken for r in source_mix.source_mix(docs, golden=golden).collect()}
+        assert by == {d: x[3] for d, x in mix_by_hand([(r.doc_id, r.text, r.source) for r in docs.collect()], golden).items()}
+        assert (by == {r.doc_id: r.taken for r in got}) == (golden == source_mix.GOLDEN)  # the points decide
+    assert all(r.taken <= 2 * r["size"] for r in got)
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target
+
+
+def test_mix_points(spark):
+    ns = [0, 1, 2, 3, 12345, (1 << 40) + 7, (1 << 61) + 5]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in ns], "n long").select(source_mix.point(F.col("n"))).collect()]
+    assert got == [n * source_mix.GOLDEN % (1 << 62) for n in ns]
+
+
+def test_mix_of_odd_rows(spark):
+    rows = [*ODD, (4, "word"), (None, "a b c"), (None, "a b c"), (None, None), (8, "lorem ipsum " * 3000)]
+    got = source_mix.source_mix(table(spark, rows)).collect()
+    assert sorted(r["size"] for r in got) == sorted(len(re.findall(WORD, t or "")) for _, t in rows)
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got)
+    again = source_mix.source_mix(table(spark, rows)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def test_mix_targets(spark):
     docs = table(spark, [(1, "a " * 10), (2, "a " * 1000), (4, "b " * 500)])
     got = source_mix.source_mix(docs, block_words=8).collect()
     by = {r.source: (r.source_size, r.target) for r in got}
+    assert {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in got} == mix_by_hand([(1, "a " * 10, "s"), (2, "a " * 1000, None), (4, "b " * 500, None)], block_words=8)
     assert by["s"] == (10, 20.0) and by[None] == (1500, 1510 * 1.5 - 20)
 
 
@@ -316,6 +395,46 @@ def test_components(spark):
     assert got == dict.fromkeys(range(31), 0) | dict.fromkeys((98, 99, 100), 98)
 
 
+def stage_rows(spark, stage, rows, sf):
+    docs = table(spark, rows)
+    out = stage(spark, docs, sf)
+    assert out.columns == docs.columns
+    return sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect()))
+
+
+def test_exact_stage_of_odd_rows(spark, sf):
+    rows = [(1, "x"), (2, "x"), (1, "y"), (3, "z"), (3, "z"), (None, "x"), (None, "n"), (None, "n"), (4, None), (5, "")]
+    got = stage_rows(spark, exact_dedup.stage, rows, sf)
+    assert got == [(False, 1, "y"), (False, 2, "x"), (False, 3, "z"), (False, 5, ""), (True, 0, "n")]
+    assert stage_rows(spark, exact_dedup.stage, [], sf) == []
+
+
+def test_ngram_stage_of_odd_rows(spark, sf):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, text), (5, text), (5, text), (6, text + " more"), (None, "a b"), (7, None), (7, ""), (None, None), (8, "p q r s t u"), (8, "k l m n o p")]
+    got = stage_rows(spark, ngram_join.stage, rows, sf)
+    assert got == [(False, 5, text), (False, 7, ""), (False, 7, ""), (False, 8, "k l m n o p"), (False, 8, "p q r s t u"), (True, 0, ""), (True, 0, "a b")]
+
+
+def test_decontaminate_stage_of_odd_rows(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None, f"some words {item} and more"), (None, "clean text of no item"), (1, item.upper()), (1, "clean"), (2, None), (3, ""), (4, "clean"), (4, "clean")]
+    got = stage_rows(spark, decontaminate.stage, rows, sf)
+    assert got == [(False, 1, "clean"), (False, 2, ""), (False, 3, ""), (False, 4, "clean"), (False, 4, "clean"), (True, 0, "clean text of no item")]
+
+
+def test_quality_stage_of_odd_rows(spark, sf):
+    good = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(300).collect()]
+    junk = "### $$$ @@ %% ^^ && ** " * 20
+    fine = next(t for _, t in good if t and 400 < len(t) < 3000)
+    rows = [*good, (None, junk), (None, fine), (5000, junk), (5000, fine), (6000, None), (6001, "")]
+    got = stage_rows(spark, quality.stage, rows, sf)
+    odd = [x for x in got if x[0] or x[1] >= 5000]
+    judged = {r.doc_id: r.kept for r in quality.quality(table(spark, rows)).collect()}
+    want = [(False, 5000, fine), (True, 0, fine)] if fine in {t for _, _, t in got} else []
+    assert odd == want and not judged[6000] and not judged[6001] and junk not in {t for _, _, t in got}
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
 

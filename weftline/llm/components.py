@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.base import drop, keep
 
-ROUNDS = 60
+ROUNDS, SALTS = 60, 16
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -28,10 +28,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     for _ in range(ROUNDS):
         if not stamp[0]:
             break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        # large star: a node hands its larger neighbours its least smaller one. The hub of a star has none, and as the smaller end of
+        # many edges it is dealt out by salt.
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        large = edges.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).join(least, ["v", "salt"], "left")
+        large = large.select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom
-from weftline.llm.base import keep, read
+from weftline.llm.base import keep, read, text_key
 from weftline.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -72,9 +72,9 @@ def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
     return np.unique(acc)
 
 
-def signature(s: np.ndarray) -> int:
+def signature(s: np.ndarray, seed: int = 0) -> int:
     """A signed 64-bit hash of a set."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed) - (1 << 63)
 
 
 def prefix_len(n, percent: int = PERCENT):
@@ -108,23 +108,26 @@ def sql_bound(a: Column, b: Column, percent: int) -> Column:
     return F.least(sql_prefix(a, percent) - (a - o), sql_prefix(b, percent) - (b - o))
 
 
-def _sizes(width: int) -> Callable:
+def _sizes(width: int, seed: int) -> Callable:
+    """Each row's set size and signature, and a second hash that tells signatures apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], ["doc_id", "n", "sig"])
+            sets = [shingle_set(t, width) for t in b.column(3).to_pylist()]
+            more = [[len(s) for s in sets], [signature(s, seed) for s in sets], [signature(s, ~seed & 0xFFFF) for s in sets]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(x, pa.int64()) for x in more)], ["doc_id", "k1", "k2", "n", "sig", "check"])
 
     return run
 
 
-def _prefixes(width: int, percent: int) -> Callable:
+def _prefixes(width: int, percent: int, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[int, np.ndarray] = {}
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, width)
                 if len(s):
-                    seen.setdefault(signature(s), s)
+                    seen.setdefault(signature(s, seed), s)
             if not seen:
                 continue
             n = np.array([len(s) for s in seen.values()], np.int64)
@@ -180,11 +183,11 @@ def _multiply(wide: int, percent: int) -> Callable:
     return run
 
 
-def _needed(width: int) -> Callable:
+def _needed(width: int, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sig", "row"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(s, seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sig", "row"])
 
     return run
 
@@ -239,21 +242,30 @@ def _product(percent: int) -> Callable:
     return run
 
 
-def sets_of(sigs: DataFrame, rows: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+def sets_of(sigs: DataFrame, rows: DataFrame, reps: DataFrame, width: int, seed: int) -> DataFrame:
     """``sig, row`` of the signatures. A filter of fixed size lets only the documents in question into the shuffle."""
     need = keep(sigs.join(reps, "sig").select(F.col("rep").alias("doc_id"), "sig"), "ngram-need")
     maybe = bloom.probe(rows, "doc_id", bloom.build(need, "doc_id", NEED_BLOCKS), NEED_BLOCKS, "needed").where("needed").select("doc_id", "body")
-    sets = maybe.mapInArrow(_needed(width), "doc_id long, sig long, row binary").join(need, ["doc_id", "sig"], "left_semi").dropDuplicates(["sig"])
+    sets = maybe.mapInArrow(_needed(width, seed), "doc_id long, sig long, row binary").join(need, ["doc_id", "sig"], "left_semi").dropDuplicates(["sig"])
     return keep(sets.select("sig", "row"), "ngram-sets", "none")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("body"))
-    sized = keep(rows.mapInArrow(_sizes(width), "doc_id long, n long, sig long"), "ngram-sizes")
+def sized_rows(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """``doc_id, k1, k2, n, sig`` of each row, and the seed of the signatures: the first under which no two sets share one."""
+    for seed in range(16):
+        sized = keep(rows.mapInArrow(_sizes(width, seed), "doc_id long, k1 long, k2 long, n long, sig long, check long"), "ngram-sizes")
+        if sized.groupBy("sig").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b").isEmpty():
+            return sized.drop("check"), seed
+    raise RuntimeError("sets share a signature under every seed")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
+    """One row per input row: ``doc_id, k1, k2`` (the text's key), ``n_shingles, root`` (the component, null without shingles), ``component_id``."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_key(docs[text_col]).alias("k"), docs[text_col].alias("body")).select("doc_id", "k.k1", "k.k2", "body")
+    sized, seed = sized_rows(rows, width)
     reps = sized.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
-    tokens = rows.select("doc_id", "body").mapInArrow(_prefixes(width, percent), "token long, sig long, n int")
+    tokens = rows.select("doc_id", "body").mapInArrow(_prefixes(width, percent, seed), "token long, sig long, n int")
     products = keep(tokens.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_multiply(wide, percent), "kind byte, a long, b long, na int, nb int"), "ngram-products")
     crowd = products.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("sig"), F.col("na").alias("n"), F.col("nb").alias("least"))
     k = keep(crowd.groupBy("sig", "n", "least").agg(F.count("*").alias("k")), "ngram-wide")
@@ -269,7 +281,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = keep(groups.join(k.select("sig", "n"), "sig"), "ngram-groups")
 
     wanted = narrow.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(groups.select("sig")).distinct()
-    sets = sets_of(wanted, rows, reps, width)
+    sets = sets_of(wanted, rows, reps, width, seed)
     both = narrow.join(sets.select(F.col("sig").alias("a"), F.col("row").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("row").alias("y")), "b")
     links = both.select("a", "b", "x", "y").mapInArrow(_overlaps(percent), "a long, b long")
 
@@ -281,10 +293,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     named = components(links, "a", "b").withColumnRenamed("node", "sig").join(reps, "sig")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = named.join(lowest, "root").select("sig", "component_id")
-    group = reps.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
-    shown = sized.where("n > 0").join(group, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return shown.unionByName(sized.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = named.join(lowest, "root").select("sig", "root", "component_id")
+    group = reps.join(linked, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+    names = ["doc_id", "k1", "k2", F.col("n").alias("n_shingles")]
+    shown = sized.where("n > 0").join(group, "sig").select(*names, "root", "component_id")
+    return shown.unionByName(sized.where("n = 0").select(*names, F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``."""
+    return grouped(docs, id_col, text_col, width, percent, wide, block).select("doc_id", "n_shingles", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,6 +310,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component, with all its columns."""
-    first = ngram_join(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    """One row of each component, with all its columns: one with the least id (null after all others, then by a hash of the text).
+
+    Rows without shingles all stay. Rows with null or repeated ids are told apart by their texts; of rows alike in both, one stays.
+    """
+    groups = keep(grouped(docs), "ngram-groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    best = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.k1", "p.k2", F.lit(True).alias("one"))
+    blank = groups.where("root IS NULL").select("doc_id", "k1", "k2", F.lit(False).alias("one")).distinct()
+    chosen = keep(best.unionByName(blank), "ngram-chosen")
+    rows = docs.select(*(F.col(c).alias(f"d_{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").cast("long").alias("__id"), text_key(docs["text"]).alias("__k"))
+    rows = rows.alias("d").join(chosen.alias("c"), F.expr("d.__id <=> c.doc_id AND d.__k.k1 = c.k1 AND d.__k.k2 = c.k2")).drop("doc_id", "k1", "k2")
+    # rows alike in id and text are as many as their counts say; only those are dealt out once more
+    twice = groups.where("root IS NOT NULL").groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "k1", "k2")
+    twice = keep(twice, "ngram-twice")
+    if not twice.isEmpty():
+        marked = rows.alias("d").join(twice.alias("t"), F.expr("d.__id <=> t.doc_id AND d.__k.k1 = t.k1 AND d.__k.k2 = t.k2 AND d.one"), "left").withColumn("again", F.col("t.k1").isNotNull()).drop("doc_id", "k1", "k2")
+        rows = marked.where("NOT again").unionByName(marked.where("again").dropDuplicates(["__id", "__k"])).drop("again")
+    return rows.select(*(F.col(f"d_{i}").alias(c) for i, c in enumerate(docs.columns)))
