@@ -331,21 +331,73 @@ def test_lm_gradients_and_learning():
         p[k][i] = keep
         assert abs((up - down) / (2 * e) - d[k][i]) < 1e-4 * abs(d[k][i]) + 1e-7
     ids = np.array([5, 6, 7] * 200, np.uint16)
-    x, y = lm_score.layout(ids, 0)
-    blocks = [np.r_[x[i - 1], x[i], y[i]].tobytes() for i in range(1, len(x))]
-    counts = np.bincount(ids, minlength=lm_score.N_IDS)
-    p = lm_score.train(blocks, counts, 60)
-    assert lm_score.score_rows(p, x, y).mean() > -0.3
+    x, y = lm_score.layout(ids, np.array([len(ids)]), 0)
+    blocks = np.stack([np.r_[x[i - 1], x[i], y[i]] for i in range(1, len(x))])
+    p, n = lm_score.train(lm_score.fresh(np.bincount(ids, minlength=lm_score.N_IDS)), iter([blocks]), 60, lm_score.RATE, 60)
+    assert n == len(blocks) and lm_score.score_rows(p, x, y).mean() > -0.3
+    same = lm_score.unpacked(lm_score.packed(p), p)
+    assert all(np.array_equal(same[k], p[k]) for k in p)
+
+
+def plain_log10(p, ids, end):
+    """log10 probability of a text's model ids and its end mark, token by token with one attention each."""
+    n = lm_score.BLOCK
+    fed, total = [end, *ids], 0.0
+    for i, want in enumerate([*ids, end]):
+        first = max(0, i // n * n - n)
+        e = p["E"][fed[first : i + 1]].astype(np.float64)
+        lag = np.arange(first, i + 1) - (i // n * n - n)
+        s = (e[-1] @ p["Wq"]) @ (e @ p["Wk"]).T / np.sqrt(lm_score.DIM) + p["R"][i % n][lag]
+        a = np.exp(s - s.max())
+        h = e[-1] + (a / a.sum()) @ (e @ p["Wv"]) @ p["Wo"]
+        g = h + np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
+        for z, k in ((g @ p["U"] + p["bu"], want // lm_score.SIDE), (g @ p["W"][want // lm_score.SIDE] + p["bl"][want // lm_score.SIDE], want % lm_score.SIDE)):
+            total += z[k] - z.max() - np.log(np.exp(z - z.max()).sum())
+    return total / np.log(10)
+
+
+def test_lm_score_by_hand(spark):
+    docs = [*ODD, *prose(3, 40), (900, "thé quick " * 60), (901, "\u4e2d\u6587 zq\u0142x \u20ac"), (None, "some words")]
+    made = table(spark, docs)
+    rows = made.select("doc_id", F.col("text").alias("body")).where("doc_id IS NULL OR crc32(cast(doc_id AS string)) % 5 != 1")
+    _, _, _, ids, _, p = lm_score.learned(rows, lm_score.BPE, 20, lm_score.SHARE)
+    encode = lm_score.encoder()
+    got = {r.doc_id: r.score for r in lm_score.lm_score(made, steps=20).collect()}
+    for d, t in docs:
+        seq, more = zip(*[ids.of(lm_score.subwords(encode, w)) for w in lm_score.words_of(t)], strict=True) if lm_score.words_of(t) else ((), ())
+        want = plain_log10(p, np.frombuffer(b"".join(seq), np.uint16).astype(int).tolist(), ids.end) + sum(more)
+        assert abs(got[d] - want) < 2e-4 * abs(want) + 1e-6
+
+
+def test_lm_large_logits():
+    z = np.array([[100.0, 99.0], [1.0, 2.0], [-500.0, 90.0]], np.float32)
+    assert np.allclose(lm_score.exps(z.copy())[1], [100 + np.log1p(np.exp(-1)), 2 + np.log1p(np.exp(-1)), 90])
+    assert np.allclose(lm_score.softmax(z.copy()).sum(1), 1)
 
 
 def test_lm_scores_each_token_once_whatever_the_batch(spark):
     p = lm_score.fresh(np.ones(lm_score.N_IDS))
-    ids = np.random.default_rng(1).integers(0, 1000, 333).astype(np.uint16)
-    x, y = lm_score.layout(ids, 9)
+    ids, sizes = np.random.default_rng(1).integers(0, 1000, 333).astype(np.uint16), np.array([333])
+    x, y = lm_score.layout(ids, sizes, 9)
     whole = lm_score.score_rows(p, x, y)
     assert len(whole) == len(ids) + 1
-    two = lm_score.score_rows(p, np.concatenate([x, x]), np.concatenate([y, y]))
-    assert np.allclose(two, np.r_[whole, whole], atol=1e-4)
+    x, y = lm_score.layout(np.r_[ids, ids, ids[:3]], np.array([333, 333, 0, 3]), 9)
+    two = lm_score.score_rows(p, x, y)
+    assert len(two) == 2 * 334 + 1 + 4 and np.allclose(two[: 2 * 334], np.r_[whole, whole], atol=1e-4)
+
+
+def test_lm_learns_from_every_training_document(spark):
+    """Blocks grow with the corpus, and repeated structure lowers the loss on documents that were held out."""
+    r = random.Random(15)
+    words = ["".join(r.choices("bcdfgh", k=3)) for _ in range(30)]
+    docs = [(i, " ".join(words[(k + i) % 30] for k in range(120))) for i in range(60)]
+    made = table(spark, docs).select(F.col("text").alias("body"))
+    ids = lm_score.Ids({lm_score.END: 1})
+    few = made.limit(20).mapInArrow(lm_score._blocks(lm_score.BPE, ids, 8), "block binary").count()
+    many = made.mapInArrow(lm_score._blocks(lm_score.BPE, ids, 8), "block binary").count()
+    assert 60 <= many and 2 * few < many
+    got = lm_score.lm_score(table(spark, docs), steps=200, share=2).where("held_out").collect()
+    assert got and sum(x.score for x in got) > 0.75 * sum(x.base_score for x in got)
 
 
 def test_quality_accuracy(spark, sf):
