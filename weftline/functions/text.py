@@ -110,13 +110,22 @@ def month_year(c: Column) -> Column:
     return F.concat_ws(" ", F.element_at(F.array(*map(F.lit, MONTHS)), F.month(d)), F.year(d).cast("string"))
 
 
-def domain_of(url: Column, suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")) -> Column:
-    """Registered domain: one label more than the longest public suffix listed, two labels else."""
+#: Second labels under which country domains are registered.
+SECOND = ("ac", "asn", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "id", "k12", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch", "web")
+
+
+def domain_of(url: Column, suffixes: tuple[str, ...] = ()) -> Column:
+    """Registered domain: one label more than the public suffix.
+
+    A suffix has two labels if it is listed in ``suffixes`` or if it is a country's (two letters) below one of ``SECOND``, else one. The full list of public
+    suffixes changes by the week and isn't part of this library: callers who need its exceptions pass them.
+    """
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
     labels = F.split(host, r"\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), ".")
-    three = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 2), 3), ".")
-    return F.when(two.isin(*suffixes), three).otherwise(two)
+    upto = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (n - 1)), n), ".")
+    two = upto(2)
+    wide = two.rlike(rf"^(?:{'|'.join(SECOND)})\.[a-z]{{2}}$")
+    return F.when(two.isin(*suffixes) | wide if suffixes else wide, upto(3)).otherwise(two)
 
 
 def render_date_refs(num: Column, date: Column, text: Column) -> Column:

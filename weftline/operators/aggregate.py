@@ -68,6 +68,7 @@ def vote_totals(voted: DataFrame, group: str, vote: str = "vote") -> DataFrame:
 
 
 UNSURE = "unsure"
+MAX_CHOICES = 10_000
 
 
 def majority(ballots: DataFrame, keys: Sequence[str], decision: str, tie: str = UNSURE) -> DataFrame:
@@ -96,7 +97,9 @@ def roll_up(decided: DataFrame, key: str, kind: str, decision: str) -> DataFrame
 
 
 def closest(left: DataFrame, text: str, choices: DataFrame, choice: str) -> DataFrame:
-    """The choice with the least edit distance to each text, the first in order of equals. ``choices`` is a parameter table."""
+    """The choice with the least edit distance to each text, the first in order of equals. ``choices`` is a parameter table of at most ``MAX_CHOICES`` rows."""
+    if choices.limit(MAX_CHOICES + 1).count() > MAX_CHOICES:
+        raise ValueError(f"more than {MAX_CHOICES} choices")
     pairs = left.crossJoin(F.broadcast(choices.select(F.col(choice).alias("closest"))))
     at = F.struct(F.levenshtein(F.col(text), F.col("closest")).alias("distance"), "closest")
     return pairs.groupBy(*left.columns).agg(F.min(at).alias("m")).select(*left.columns, "m.closest", "m.distance")

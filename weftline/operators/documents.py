@@ -258,19 +258,28 @@ def pages_of(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
     return chunks.withColumn("page", F.coalesce(F.last(F.when(F.size(seen) > 0, F.element_at(seen, -1)), ignorenulls=True).over(w).cast("int"), F.lit(0)))
 
 
-#: Titles of bibliography sections, in letters only.
-BIBLIOGRAPHY = {"references", "bibliography", "bibliographie", "reference", "references bibliographiques", "works cited", "literature cited", "sources", "literature"}
+#: Titles of bibliography sections.
+BIBLIOGRAPHY = (
+    "bibliography", "references", "works cited", "cited works", "sources", "citations", "literature cited", "further reading", "additional reading", "resources",
+    "références", "bibliographie", "ouvrages cités", "sources citées", "littérature citée", "lectures complémentaires",
+)
+
+
+def bare_title(text: str) -> str:
+    """Only the letters a to z of the lower-cased title, so accents and spaces don't count on either side."""
+    return re.sub(r"[^a-z]", "", text.lower())
 
 
 def remove_bibliography(text: str) -> str:
     """Without the bibliography section, if exactly one heading names one, and without bracketed citations."""
-    marks = list(re.finditer(r"^(#{1,4}) +(.*)$", text, re.MULTILINE))
+    titles = {bare_title(x) for x in BIBLIOGRAPHY}
+    marks = list(re.finditer(r"^(#{1,4})[^\S\n]*(.*)$", text, re.MULTILINE))
     ends = [*(m.start() for m in marks[1:]), len(text)]
-    named = [i for i, m in enumerate(marks) if re.sub(r"[^a-z ]", "", m[2].lower()).strip() in BIBLIOGRAPHY]
+    named = [i for i, m in enumerate(marks) if bare_title(m[2]) in titles]
     if len(named) == 1:
         i = named[0]
         text = text[: marks[i].start()] + text[ends[i] :]
-    return re.sub(r"\[\d+(?:,\s*\d+)*\]", "", text)
+    return re.sub(r"\[\s*\d+(?:\s*,\s*\d+)*\s*\]", "", text)
 
 
 def renumber_citations(text: str) -> str:

@@ -54,7 +54,7 @@ def load_yaml(text: str) -> object:
     try:
         return yaml.safe_load(body)
     except yaml.YAMLError:
-        quoted = re.sub(r"^(\s*(?:- )?[^:\n]+:\s+)([^\"'\n|>\[{][^\n]*:[^\n]*)$", lambda x: x[1] + json.dumps(x[2], ensure_ascii=False), body, flags=re.MULTILINE)
+        quoted = re.sub(r"^([ \t]*(?:- )?[^:\n]+:[ \t]+)([^\"'\s|>\[{][^\n]*:[^\n]*)$", lambda x: x[1] + json.dumps(x[2], ensure_ascii=False), body, flags=re.MULTILINE)
         try:
             return yaml.safe_load(quoted)
         except yaml.YAMLError:

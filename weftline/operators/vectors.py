@@ -1,12 +1,13 @@
 """Similarity search, clustering and constrained assignment over embedding vectors.
 
-Query sets and anchors are parameters and must be small (``MAX_QUERIES`` rows, checked); the
-vectors of the table are only scanned.
+Query sets and anchors are broadcast in blocks of ``MAX_QUERIES`` rows; the vectors of the table are only scanned,
+once a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -26,6 +27,12 @@ def bounded(queries: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
     return F.broadcast(queries)
 
 
+def in_blocks(queries: DataFrame, key: str, most: int = MAX_QUERIES) -> list[DataFrame]:
+    """Broadcasts of the queries in blocks of some ``most`` rows, dealt by a hash of ``key``: each block is scored against the table on its own."""
+    n = -(-queries.count() // most)
+    return [F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else queries) for i in range(max(1, n))]
+
+
 def dot(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y)
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
@@ -44,15 +51,16 @@ def top_k(df: DataFrame, vector: str, query: DataFrame, query_vector: str, k: in
 
 def top_k_any(df: DataFrame, key: str, vector: str, queries: DataFrame, query_vector: str, k: int) -> DataFrame:
     """``key, dist``: the k rows with the least cosine distance to any of the queries."""
-    q = bounded(queries.select(F.col(query_vector).alias("__q")))
-    far = df.crossJoin(q).select(key, (1 - cosine(F.col(vector), F.col("__q"))).alias("d"))
+    parts = [df.crossJoin(q).select(key, (1 - cosine(F.col(vector), F.col("__q"))).alias("d")) for q in in_blocks(queries.select(F.col(query_vector).alias("__q")), "__q")]
+    far = reduce(DataFrame.unionByName, (p.groupBy(key).agg(F.min("d").alias("d")) for p in parts)) if len(parts) > 1 else parts[0]
     return far.groupBy(key).agg(F.min("d").alias("dist")).orderBy("dist", key).limit(k)
 
 
 def top_k_uniform(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
     """``key, query, dist``: k // q rows for each query in turn, none twice."""
-    rows = bounded(queries.select(query_key, query_vector)).orderBy(query_key).collect()
-    each = k // max(1, len(rows))
+    n = queries.count()
+    each = k // max(1, n)
+    rows = queries.select(query_key, query_vector).orderBy(query_key).collect() if each else []  # at most k queries, else none gets a row
     out: list[tuple] = []
     for r in rows:
         q = F.array(*(F.lit(float(x)) for x in r[1]))
@@ -74,9 +82,11 @@ def top_k_capped(df: DataFrame, key: str, group: str, vector: str, query: DataFr
 
 def top_k_queries(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
     """``query, key, sim, rank``: the best k rows of each query."""
-    q = bounded(queries.select(F.col(query_key).alias("query"), F.col(query_vector).alias("__q")))
-    scored = df.crossJoin(q).select("query", key, cosine(F.col(vector), F.col("__q")).alias("sim"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), key))).where(F.col("rank") <= k)
+    best = []
+    for q in in_blocks(queries.select(F.col(query_key).alias("query"), F.col(query_vector).alias("__q")), "query"):
+        scored = df.crossJoin(q).select("query", key, cosine(F.col(vector), F.col("__q")).alias("sim"))
+        best.append(scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), key))).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, best)
 
 
 def first_hits(hits: DataFrame, file: str, order: Sequence[str]) -> DataFrame:
@@ -93,6 +103,7 @@ def cluster(df: DataFrame, vector: str, k: int, rerolls: int = 10, seed: int = 0
         spread = out.groupBy("__c").count().agg(F.var_pop("count")).first()[0] or 0.0
         if best is None or spread < best[0]:
             best = (spread, out)
+    data.unpersist()
     return best[1].withColumn(name, F.col("__c").cast("string")).drop("__v", "__c")
 
 
@@ -102,8 +113,13 @@ def cluster_by_size(df: DataFrame, vector: str, per_cluster: int, rerolls: int =
 
 def affinity(chunks: DataFrame, chunk_key: str, document: str, vector: str, anchors: DataFrame, group: str, anchor_vector: str) -> DataFrame:
     """``chunk, document, group, score``: mean dot product of each chunk with a group's anchors."""
-    a = bounded(anchors.select(F.col(group).alias("group"), F.col(anchor_vector).alias("__a")))
-    return chunks.crossJoin(a).select(F.col(chunk_key).alias("chunk"), F.col(document).alias("document"), "group", dot(F.col(vector), F.col("__a")).alias("d")).groupBy("chunk", "document", "group").agg(F.avg("d").alias("score"))
+    keys, parts = ["chunk", "document", "group"], []
+    for a in in_blocks(anchors.select(F.col(group).alias("group"), F.col(anchor_vector).alias("__a")), "__a"):
+        near = chunks.crossJoin(a).select(F.col(chunk_key).alias("chunk"), F.col(document).alias("document"), "group", dot(F.col(vector), F.col("__a")).alias("d"))
+        parts.append(near.groupBy(*keys).agg(F.sum("d").alias("s"), F.count("d").alias("n")) if parts or anchors.count() > MAX_QUERIES else near.groupBy(*keys).agg(F.avg("d").alias("score")))
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("score"))
 
 
 class Flow:

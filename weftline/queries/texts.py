@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import template
 from weftline.functions import text as tx
-from weftline.operators import aggregate, convert, documents, order, prompts, records, segment
+from weftline.operators import aggregate, convert, documents, prompts, records, segment
 from weftline.queries.base import Book, simplify_sql
 from weftline.session import table as t
 from weftline.sources import biblio
@@ -120,8 +120,10 @@ def top_chunks(spark, d):
     from pyspark.sql import Window
 
     chunks = segment.segment_rows(t(spark, d, "documents").select("doc_id", "lang", "text"), "text", 1000, "chunk", "pos", 1_000_000, remove=True)
-    chunks = chunks.withColumn("words", tx.word_count(F.col("chunk"))).withColumn("plain", tx.simplify(F.col("chunk"))).drop("chunk")
-    first = order.keep_first(chunks, ["plain"], ["doc_id", "pos"])
+    plain = tx.simplify(F.col("chunk"))
+    # 128 bits stand for the chunk, so that no text enters the shuffle
+    keyed = chunks.select("doc_id", "pos", "lang", tx.word_count(F.col("chunk")).alias("words"), plain.alias("plain")).select("*", F.xxhash64("plain").alias("k1"), F.xxhash64(F.lit("chunk"), "plain").alias("k2"))
+    first = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "pos", "lang", "words")).alias("r")).select("r.*")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("words"), "doc_id", "pos"))
     return first.withColumn("r", rank).where("r <= 20").select("lang", "doc_id", "pos", "words")
 

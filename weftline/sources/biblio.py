@@ -50,11 +50,27 @@ def medline_text(entries: list[dict]) -> str:
     return "\n\n".join(parts)
 
 
-#: RIS tags and the fields they fill.
-RIS = {"TI": "title", "T1": "title", "AB": "abstract", "N2": "abstract", "DO": "doi", "PY": "date", "Y1": "date", "DA": "date", "JO": "journal", "JF": "journal", "T2": "journal", "AU": "authors", "A1": "authors", "A2": "authors", "TY": "type", "KW": "keywords", "AD": "affiliations"}
+#: RIS tags and the fields they fill. Editors and publishers have no field of their own and stay in ``full_entry``.
+RIS = {
+    "A1": "authors", "A2": "authors", "A3": "authors", "A4": "authors", "A5": "authors", "A6": "editor", "AB": "abstract", "AU": "authors", "BT": "title",
+    "DA": "date", "DI": "doi", "DO": "doi", "DOI": "doi", "JF": "journal", "K1": "keywords", "KW": "keywords", "M3": "type", "N2": "abstract", "PB": "publisher",
+    "T1": "title", "T2": "title", "T3": "title", "TI": "title", "U3": "date", "U4": "date", "Y1": "date",
+}
+#: Tags beyond those that this reader understands as well.
+RIS_MORE = {"PY": "date", "JO": "journal", "AD": "affiliations"}
 LISTS = ("authors", "type", "keywords", "affiliations")
-#: Names of some RIS types.
-RIS_TYPES = {"JOUR": "Journal Article", "BOOK": "Book", "CHAP": "Book Chapter", "CONF": "Conference Paper", "THES": "Thesis", "RPRT": "Report", "GEN": "Generic", "ELEC": "Web Page", "NEWS": "Newspaper Article"}
+#: Names of the RIS types.
+RIS_TYPES = {
+    "ABST": "Journal Article", "ADVS": "Audiovisual Material", "AGGR": "Aggregated Database", "ANCIENT": "Ancient Text", "ART": "Artwork", "BILL": "Bill (was Bill, Unenacted Bill)",
+    "BLOG": "Blog", "BOOK": "Book", "CASE": "Case", "CHAP": "Book Section", "CHART": "Chart", "CLSWK": "Classical Work", "COMP": "Computer Program", "CONF": "Conference Proceedings",
+    "CPAPER": "Conference Paper", "CTLG": "Catalog", "DATA": "Dataset (was Data File) AND Computer Program", "DBASE": "Online Database", "DICT": "Dictionary", "EBOOK": "Electronic Book",
+    "ECHAP": "Electronic Book Section", "EDBOOK": "Edited Book", "EJOUR": "Electronic Article", "ELEC": "Web Page", "ENCYC": "Encyclopedia", "EQUA": "Equation", "FIGURE": "Figure",
+    "GEN": "Generic", "GOVDOC": "Government Document", "GRNT": "Grant", "HEAR": "Hearing", "ICOMM": "Personal Communication", "INPR": "Journal Article", "INTV": "Interview",
+    "JFULL": "Journal Article", "JOUR": "Journal Article", "LEGAL": "Legal Rule", "MANSCPT": "Manuscript", "MAP": "Map", "MGZN": "Magazine Article", "MPCT": "Film or Broadcast",
+    "MULTI": "Online Multimedia", "MUSIC": "Music", "NEWS": "Newspaper Article", "PAMP": "Pamphlet", "PAT": "Patent", "PCOMM": "Personal Communication", "POD": "Podcast",
+    "PRESS": "Press Release", "RPRT": "Report", "SER": "Serial", "SLIDE": "Audiovisual Material", "SOUND": "Audiovisual Material", "STAND": "Standard", "STAT": "Statute", "STD": "Generic",
+    "THES": "Thesis", "UNBILL": "Bill (was Bill, Unenacted Bill)", "UNPB": "Unpublished Work", "UNPD": "Unpublished Work", "VIDEO": "Audiovisual Material", "WEB": "Web page",
+}
 
 
 def ris(text: str) -> list[dict]:
@@ -63,7 +79,7 @@ def ris(text: str) -> list[dict]:
     for part in re.split(r"^ER  -.*$", text.replace("\r\n", "\n"), flags=re.MULTILINE):
         tags: list[tuple[str, str]] = []
         for line in part.split("\n"):
-            if m := re.match(r"([A-Z][A-Z0-9])  - ?(.*)", line):
+            if m := re.match(r"([A-Z][A-Z0-9]{1,2}) {1,2}- ?(.*)", line):
                 tags.append((m[1], m[2].strip()))
             elif line.strip() and tags:
                 tags[-1] = (tags[-1][0], f"{tags[-1][1]} {line.strip()}")
@@ -72,12 +88,12 @@ def ris(text: str) -> list[dict]:
         e: dict = {k: [] for k in LISTS} | dict.fromkeys(("title", "abstract", "doi", "date", "journal"), "") | {"full_entry_type": "ris", "full_entry": {}}
         for k, v in tags:
             e["full_entry"].setdefault(k, []).append(v)
-            f = RIS.get(k)
+            f = "type" if k == "TY" else RIS.get(k) or RIS_MORE.get(k)
             if f in LISTS:
-                v = RIS_TYPES.get(v, v) if f == "type" else v
+                v = RIS_TYPES.get(v, v) if k == "TY" else v
                 if v not in e[f]:
                     e[f].append(v)
-            elif f and len(v) > len(e[f]):
+            elif f in e and len(v) > len(e[f]):
                 e[f] = v
         e["date"] = day(e["date"]) or None
         out.append(e)
@@ -85,8 +101,8 @@ def ris(text: str) -> list[dict]:
 
 
 def ris_text(entries: list[dict]) -> str:
-    back = {"title": "TI", "abstract": "AB", "doi": "DO", "date": "PY", "journal": "JO", "authors": "AU", "keywords": "KW", "affiliations": "AD"}
-    types = {v: k for k, v in RIS_TYPES.items()}
+    back = {"title": "TI", "abstract": "AB", "doi": "DO", "date": "PY", "journal": "JF", "authors": "AU", "keywords": "KW", "affiliations": "AD"}
+    types = {v: k for k, v in reversed(RIS_TYPES.items())} | {"Journal Article": "JOUR", "Generic": "GEN"}
     parts = []
     for e in entries:
         lines = [f"TY  - {types.get((e['type'] or ['Generic'])[0], 'GEN')}"]
