@@ -87,7 +87,7 @@ NULL_CELLS = ("", "null", "not found", "none", "absent")
 
 def pipe_table(df: DataFrame, key: str, field: str) -> DataFrame:
     """``key, column_name, row_name, value`` of a pipe table; null-like cells are skipped. Not a table: no rows."""
-    cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     lines = F.filter(F.split(F.col(field), "\n"), lambda x: F.contains(x, F.lit("|")))
     t = df.select(key, lines.alias("ls")).where(F.size("ls") > 2)
     t = t.select(key, cells(F.element_at("ls", 1)).alias("head"), F.posexplode(F.slice("ls", 3, F.size("ls"))).alias("line_no", "line")).withColumn("cells", cells(F.col("line")))

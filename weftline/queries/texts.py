@@ -151,7 +151,19 @@ def page_text(spark, d):
     return t(spark, d, "pages").select("page_id", documents.plain_text(F.col("html")).alias("text"))
 
 
-@B.add()
+BARE = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+FOUND = r"""nullif(regexp_extract(html, '(?i)<meta\s[^>]*(?:name|property|itemprop)="{0}"[^>]*content="(\d{{4}}-\d{{2}}-\d{{2}})', 1), '')"""
+MAIN = r"CASE WHEN contains(lower(html), '<article') THEN regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) ELSE regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main>', 1) END"
+BODY = r"coalesce(nullif(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), ''), html)"
+
+
+@B.add(
+    "WITH p AS (SELECT *, " + BARE.format(MAIN) + " AS main_text FROM pages) SELECT page_id, coalesce("
+    + ", ".join(FOUND.format(m) for m in documents.DATE_META)
+    + r""", nullif(regexp_extract(html, '(?i)<time\s[^>]*datetime="(\d{4}-\d{2}-\d{2})', 1), '')) AS date, CASE WHEN length(main_text) > 100 THEN main_text ELSE """
+    + BARE.format(BODY)
+    + " END AS text FROM p"
+)
 def page_dates(spark, d):
     return t(spark, d, "pages").select("page_id", documents.page_date(F.col("html")).alias("date"), documents.main_text(F.col("html")).alias("text"))
 
@@ -239,12 +251,22 @@ def text_kind(spark, d):
     return records.set_expression(t(spark, d, "documents").select("doc_id", "text"), "kind", "'table' if '|' in text else 'prose'").drop("text")
 
 
-@B.add()
+CELLS = r"list_transform(string_split(regexp_replace(trim({0}), '^\||\|$', '', 'g'), '|'), lambda x: trim(x))"
+
+
+@B.add(
+    "WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')) AS ls FROM documents), r AS (SELECT doc_id, "
+    + CELLS.format("ls[1]")
+    + " AS head, unnest(ls[3:]) AS line, generate_subscripts(ls[3:], 1) - 1 AS line_no FROM l WHERE len(ls) > 2), c AS (SELECT doc_id, head, line_no, "
+    + CELLS.format("line")
+    + " AS cells FROM r), v AS (SELECT doc_id, head, line_no, cells[1] AS row_name, unnest(cells) AS value, generate_subscripts(cells, 1) - 1 AS i FROM c) "
+    "SELECT doc_id, head[i + 1] AS column_name, row_name, value, line_no::INTEGER AS line_no FROM v WHERE i > 0 AND i < len(head) AND lower(value) NOT IN ('', 'null', 'not found', 'none', 'absent')"
+)
 def pipe_tables(spark, d):
     return convert.pipe_table(t(spark, d, "documents"), "doc_id", "text")
 
 
-@B.add()
+@B.add("SELECT doc_id::VARCHAR AS source, 0 AS entry, 'Paper ' || doc_id AS title, '' AS abstract, '' AS doi, '2015-10-15' AS date, source AS journal, 'ris' AS full_entry_type, ['One, A', 'Two, B'] AS authors, ['Journal Article'] AS type, []::VARCHAR[] AS keywords, []::VARCHAR[] AS affiliations FROM documents")
 def biblio_round_trip(spark, d):
     made = F.concat(F.lit("TY  - JOUR\nTI  - Paper "), F.col("doc_id").cast("string"), F.lit("\nAU  - One, A\nAU  - Two, B\nPY  - 2015/10/15\nJO  - "), F.col("source"), F.lit("\nER  - \n"))
     return biblio.entries(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), made.alias("value")), "source", "value", "ris").drop("full_entry")
