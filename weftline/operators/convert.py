@@ -221,3 +221,24 @@ def json_list(text: str) -> list:
     if not isinstance(got, list):
         raise TypeError("not a list")
     return got
+
+
+def without_justifications(df: DataFrame, mark: str = "_JUSTIFICATION") -> DataFrame:
+    """Extracted rows without the columns that only justify others."""
+    return df.drop(*(c for c in df.columns if c.upper().endswith(mark)))
+
+
+def entry_rows(df: DataFrame, key: str, field: str, schema: str, one: bool = False) -> DataFrame:
+    """``key`` and the fields of the entries in a JSON text: a list, or with ``one`` a single record per document."""
+    got = F.from_json(field, f"struct<{schema}>" if one else f"array<struct<{schema}>>")
+    return without_justifications(df.select(key, got.alias("__e")).select(key, "__e.*") if one else df.select(key, F.inline(got)))
+
+
+REF_MARK = r"<ref (\d+)(?: *: *(\d+))? */?>"
+
+
+def numbered_references(c: Column) -> Column:
+    """``<ref a/>`` and ``<ref a : b/>`` tags as ``[n]``, numbered by the order in which their sources first appear."""
+    ids = F.array_distinct(F.regexp_extract_all(c, F.lit(REF_MARK), F.lit(1)))
+    parts = F.split(F.regexp_replace(c, REF_MARK, "\x01$1\x02"), "[\x01\x02]")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("["), F.array_position(ids, p).cast("string"), F.lit("]"))).otherwise(p)), "")

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,3 +161,14 @@ def grade(answers: Column) -> Column:
 def budget(text: Column, tokens: Column, most: int) -> Column:
     """Cut a text to the share of its tokens that fits."""
     return F.when(tokens > most, F.left(text, F.floor(F.length(text) * most / tokens).cast("int"))).otherwise(text)
+
+
+def scored_fields(fields: DataFrame, group: str, order: str, text: str, provider: Provider, batch: int = 20) -> DataFrame:
+    """``group, order, score``: the provider's grade of each field, asked for ``batch`` fields of a group at a time; it replies with a JSON list of numbers, and a
+    field without one scores 0."""
+    no = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    rows = fields.select(group, order, text, no.alias("__n")).withColumn("__b", F.floor(F.col("__n") / batch).cast("int")).withColumn("__n", F.col("__n") % batch)
+    asked = rows.groupBy(group, "__b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.col(text).alias("t")))), lambda x: x["t"]), "\n").alias("__q"))
+    said = complete(asked.withColumn("__p", F.array(F.struct(F.lit("user").alias("role"), F.col("__q").alias("content")))), "__p", provider, "__r")
+    scores = said.select(group, "__b", F.from_json(F.regexp_extract("__r", r"(?s)\[.*\]", 0), "array<double>").alias("__s"))
+    return rows.join(scores, [group, "__b"]).select(group, order, F.coalesce(F.get("__s", F.col("__n")), F.lit(0.0)).alias("score"))

@@ -220,3 +220,11 @@ def anchored_top_k(chunks: DataFrame, chunk_key: str, document: str, vector: str
     picked = solve_assignment(score, [doc[c] for c in cs], per_chunk, group_quota(len(cs), len(gs), per_chunk, per_group), per_document)
     kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
     return chunks.sparkSession.createDataFrame([(cs[c], gs[g], float(score[c, g])) for c, g in picked], f"chunk {kinds['chunk']}, group {kinds['group']}, score double")
+
+
+def bullet_assignments(bullets: DataFrame, bullet: str, bullet_vector: str, chunks: DataFrame, chunk: str, vector: str, text: str, k: int) -> DataFrame:
+    """``bullet, chunks, context``: the ids of each bullet's k nearest chunks, best first, and their texts joined by blank lines."""
+    near = top_k_queries(chunks, chunk, vector, bullets, bullet, bullet_vector, k).join(chunks.select(chunk, text), chunk)
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.col(chunk).alias("c"), F.col(text).alias("t"))))  # k rows at most
+    held = near.groupBy("query").agg(rows.alias("r"))
+    return held.select(F.col("query").alias("bullet"), F.transform("r", lambda x: x["c"]).alias("chunks"), F.array_join(F.transform("r", lambda x: x["t"]), "\n\n").alias("context"))

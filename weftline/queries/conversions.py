@@ -671,4 +671,51 @@ def assembled_html(spark, d):
     return versioned.assembled(rows, "document", "path", "text", lambda x: x.replace("\n\n", "<br>"), css="p {}")
 
 
+# rows, bullets, grades
+
+
+@B.add("SELECT doc_id, lang AS a, unnest([1, 2]) AS b FROM documents")
+def extraction_entries(spark, d):
+    made = F.concat(F.lit('[{"a": "'), F.col("lang"), F.lit('", "b": 1, "a_JUSTIFICATION": "x"}, {"a": "'), F.col("lang"), F.lit('", "b": 2}]'))
+    return convert.entry_rows(t(spark, d, "documents").select("doc_id", made.alias("j")), "doc_id", "j", "a:string,b:int,a_JUSTIFICATION:string")
+
+
+@B.add("SELECT doc_id, lang AS a FROM documents")
+def extraction_record(spark, d):
+    made = F.concat(F.lit('{"a": "'), F.col("lang"), F.lit('", "a_justification": "x"}'))
+    return convert.entry_rows(t(spark, d, "documents").select("doc_id", made.alias("j")), "doc_id", "j", "a:string,a_justification:string", one=True)
+
+
+@B.add("SELECT doc_id, 'See [1] and [2], [1] in ' || lang AS text FROM documents WHERE doc_id > 9")
+def numbered_references(spark, d):
+    tag = F.concat(F.lit("<ref "), F.col("doc_id").cast("string"))
+    made = F.concat(F.lit("See "), tag, F.lit("/> and <ref 3 : 4/>, "), tag, F.lit(" : 2 /> in "), F.col("lang"))
+    return t(spark, d, "documents").where("doc_id > 9").select("doc_id", convert.numbered_references(made).alias("text"))
+
+
+@B.add("""WITH v AS (SELECT q.vec_id AS k, o.vec_id AS o, list_cosine_similarity(q.embedding::DOUBLE[], o.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings o WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, o) AS n FROM v)
+SELECT k AS bullet, list(o ORDER BY n) AS chunks, string_agg('v' || o, chr(10) || chr(10) ORDER BY n) AS context FROM r WHERE n <= 4 GROUP BY k""")
+def bullet_chunks(spark, d):
+    e = t(spark, d, "embeddings").withColumn("text", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    return vectors.bullet_assignments(e.where("vec_id % 50 = 0"), "vec_id", "embedding", e, "vec_id", "embedding", "text", 4)
+
+
+@B.add("SELECT n_regionkey AS g, n_nationkey AS o, length(n_name)::DOUBLE AS score FROM nation")
+def provider_grades(spark, d):
+    def grade(prompts_):
+        return [json.dumps([len(x) for x in json.loads(p)[-1]["content"].split("\n")]) for p in prompts_]
+
+    n = t(spark, d, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("o"), "n_name")
+    return providers.scored_fields(n, "g", "o", "n_name", grade, 3)
+
+
+@B.add("SELECT unnest(['schema', '1_document_level', '2_nations']) AS sheet, unnest([3, 5, 25]) AS n")
+def nested_workbook(spark, d):
+    held = t(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))
+    fields = [{"name": "n_regionkey", "type": "int"}, {"name": "nations", "fields": [{"name": "n_name", "type": "str"}]}]
+    book = files.workbook_frames(files.nested_workbook(held, fields))
+    return spark.createDataFrame([(k, len(v)) for k, v in book.items()], "sheet string, n int")
+
+
 QUERIES, ORACLES = B.queries, B.oracles
