@@ -3,6 +3,9 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; the result is written as
 Parquet and read again as the next stage's docs. All stages but the last return the
 columns of ``documents``; the last returns what the mix takes of each document.
+
+Each stage takes rows with null or repeated ids, null, empty and very long texts, equal rows and empty tables; its docstring says what it
+does with them. Rows are told apart by id and text, and columns that no stage reads pass through the first four as they are.
 """
 
 from __future__ import annotations
