@@ -2,7 +2,7 @@
 
 The list is held in a blocked Bloom filter: a URL's hash picks one block of eight
 64-bit words and one bit in each word. The filter is a table of at most ``n_blocks``
-rows of 72 bytes, whatever the list's length, and only that is broadcast. URLs it passes
+rows of 72 bytes, a row for every ``PER_BLOCK`` listed URLs up to ``MOST_BLOCKS``, and only that is broadcast. URLs it passes
 are possible hits and go to an exact hash join with the list, which removes the false
 positives; all others are cleared without a shuffle. A list too long for the filter
 costs more exact joins, never a wrong result.
@@ -32,8 +32,8 @@ from weftline.llm.base import lower_ascii, read
 
 #: verdict, rule; the part before the first / is the host.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: 16,384 blocks of 64 bytes: 1 MB.
-N_BLOCKS = 1 << 14
+#: Listed URLs to a block of 512 bits, and the most blocks: a filter of 75 MB for some 30 million URLs.
+PER_BLOCK, MOST_BLOCKS = 32, 1 << 20
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 SEARCH_EVERY = 50
 
@@ -65,13 +65,14 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, n_blocks: int = N_BLOCKS) -> DataFrame:
+def url_filter(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, n_blocks: int | None = None) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, listed``. ``listed`` has a column ``url``."""
     url = pages[url_col]
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     p = pages.select(pages[id_col].alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canon"))
     p = p.withColumn("rule", rule).withColumn("ruled", ruled)
     keys = listed.select(canonical(listed["url"]).alias("canon")).where("canon IS NOT NULL").distinct()
+    n_blocks = n_blocks or max(1, min(MOST_BLOCKS, -(-keys.count() // PER_BLOCK)))
     tried = bloom.probe(p, "canon", bloom.build(keys, "canon", n_blocks), n_blocks, "maybe")
     hits = tried.where("maybe").join(keys.withColumn("listed", F.lit(True)), "canon", "left")
     both = hits.unionByName(tried.where("NOT maybe").withColumn("listed", F.lit(False)))
