@@ -102,6 +102,8 @@ def leaks(docs, items, percent=80):
             if not n:
                 continue
             ic = Counter(tuple(iw[a : a + k]) for a in range(n - k + 1))
+            if not any(tuple(w[a : a + k]) in ic for a in range(len(w) - k + 1)):
+                continue
             for s in range(max(0, len(w) - n) + 1):
                 ww = w[s : s + n]
                 c = Counter(tuple(ww[a : a + k]) for a in range(len(ww) - k + 1))

@@ -364,8 +364,8 @@ def test_lm_score_by_hand(spark):
     encode = lm_score.encoder()
     got = {r.doc_id: r.score for r in lm_score.lm_score(made, steps=20).collect()}
     for d, t in docs:
-        seq, more = zip(*[ids.of(lm_score.subwords(encode, w)) for w in lm_score.words_of(t)], strict=True) if lm_score.words_of(t) else ((), ())
-        want = plain_log10(p, np.frombuffer(b"".join(seq), np.uint16).astype(int).tolist(), ids.end) + sum(more)
+        raw = [s for w in lm_score.words_of(t) for s in encode._encode_single_piece(b" " + w)]
+        want = plain_log10(p, [int(ids.table[s]) for s in raw], ids.end) + sum(ids.more[s] for s in raw)
         assert abs(got[d] - want) < 2e-4 * abs(want) + 1e-6
 
 
@@ -391,10 +391,8 @@ def test_lm_learns_from_every_training_document(spark):
     r = random.Random(15)
     words = ["".join(r.choices("bcdfgh", k=3)) for _ in range(30)]
     docs = [(i, " ".join(words[(k + i) % 30] for k in range(120))) for i in range(60)]
-    made = table(spark, docs).select(F.col("text").alias("body"))
-    ids = lm_score.Ids({lm_score.END: 1})
-    few = made.limit(20).mapInArrow(lm_score._blocks(lm_score.BPE, ids, 8), "block binary").count()
-    many = made.mapInArrow(lm_score._blocks(lm_score.BPE, ids, 8), "block binary").count()
+    made, kind = table(spark, docs).select(F.col("text").alias("body")), "kind byte, key long, n long, block binary"
+    few, many = (df.mapInArrow(lm_score._count(lm_score.BPE, 8), kind).where("kind = 2").count() for df in (made.limit(20), made))
     assert 60 <= many and 2 * few < many
     got = lm_score.lm_score(table(spark, docs), steps=200, share=2).where("held_out").collect()
     assert got and sum(x.score for x in got) > 0.75 * sum(x.base_score for x in got)
@@ -406,13 +404,56 @@ def test_quality_accuracy(spark, sf):
     assert all(r.kept for r in got if r.quality == 1)
 
 
+def plain_em(counts, rounds=300):
+    """Expectation-maximisation vote by vote: the probability of each pattern to be good."""
+    p = {v: 0.1 if "0" in v else 0.9 for v in counts}
+    for _ in range(rounds):
+        n = sum(counts.values())
+        share = min(0.99, max(0.01, (sum(p[v] * counts[v] for v in counts) + 1) / (n + 2)))
+        odds = {v: math.log(share / (1 - share)) for v in counts}
+        for i in range(len(quality.LABELLERS)):
+            said = {(good, c): 0.5 + sum((p[v] if good else 1 - p[v]) * counts[v] for v in counts if v[i] == c) for good in (0, 1) for c in "01"}
+            for v in counts:
+                if v[i] != "2":
+                    odds[v] += math.log(said[1, v[i]] / (said[1, "0"] + said[1, "1"])) - math.log(said[0, v[i]] / (said[0, "0"] + said[0, "1"]))
+        p = {v: 1 / (1 + math.exp(-max(-50, min(50, odds[v])))) for v in counts}
+    return p
+
+
+def test_quality_estimate_by_hand():
+    r = random.Random(16)
+    counts = Counter("".join(r.choices("012", weights=(1, 5, 1) if r.random() < 0.7 else (5, 1, 1), k=len(quality.LABELLERS))) for _ in range(400))
+    _, _, got = quality.estimate(dict(counts))
+    want = plain_em(counts)
+    assert all(abs(got[v] - want[v]) < 1e-6 for v in counts)
+
+
+def test_quality_shares_by_hand():
+    r = random.Random(17)
+    tokens = ["word", "Word", "WORD!!", "a#b", "x.", "end?", "yes", "yes", "12-", "(no)", "$$", "éa,"]
+    for _ in range(50):
+        w = r.choices(tokens, k=r.randint(1, 60))
+        of, _, _ = quality.measure(" ".join(w), quality.Words())
+        n = len(w)
+        assert of["marks"] == pytest.approx(sum(any(c in "#$%&*|<>{}^~=" for c in x) for x in w) / n)
+        assert of["bang"] == pytest.approx(sum(x.endswith("!!") for x in w) / n)
+        assert of["shout"] == pytest.approx(sum(sum(map(str.isupper, x)) > max(1, sum(map(str.islower, x))) for x in w) / n)
+        assert of["tails"] == pytest.approx(sum(not x[-1].isalnum() and x[-1] not in quality.CLAUSE for x in w) / n)
+        assert of["letters"] == pytest.approx(sum(c.isalpha() for x in w for c in x) / sum(map(len, w)))
+        assert of["flow"] == pytest.approx(n / max(1, sum(x[-1] in ".!?" for x in w)))
+        if n >= 20:
+            assert of["top"] == pytest.approx(max(Counter(w).values()) / n) and of["variety"] == pytest.approx(len(set(w)) / n)
+        if n >= 5:
+            assert of["echo"] == pytest.approx(sum(a == b for a, b in zip(w, w[1:], strict=False)) / n)
+
+
 def test_urls(spark):
     urls = [
         "https://A.Example.NET/en/x", "http://x.net/y", "http://net", "http://org/fr/a", "http://notorg/fr/a", "http://example.com/de/?q", "http://example.com/de", None, "no scheme", "http://www.h.com/p/?b=2&utm_x=1&a=1#f", "https://h.com/p?a=1&b=2", "http://h.com/p?a=1",
     ]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     listed = spark.createDataFrame([("http://m.h.com/p?b=2&a=1",)], "url string")
-    for n_blocks in (1 << 14, 1):
+    for n_blocks in (None, 1 << 14, 1):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, listed, n_blocks=n_blocks).collect()}
         assert got[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
         assert got[1] == ("x.net", "/y", "net/", "block")
@@ -491,6 +532,25 @@ def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
 
 
+def test_pipeline_by_hand(spark, sf):
+    """The whole pipeline against plain Python, given which texts the classifier keeps."""
+    import corpus_pipeline
+
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    judged = {r.doc_id: r.kept for r in quality.query(spark, sf).collect()}
+    rows = [r for r in rows if judged[r[0]]]
+    last = {t or "": d for d, t, _ in sorted(rows)}
+    rows = [r for r in rows if last[r[1] or ""] == r[0]]
+    groups = near_groups([(d, t) for d, t, _ in rows])
+    rows = [r for r in rows if groups[r[0]][1] == r[0]]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hit = {d for d, _ in leaks([(d, t) for d, t, _ in rows], items)}
+    rows = [r for r in rows if r[0] not in hit]
+    want = {d: x for d, x in mix_by_hand(rows).items() if x[3]}
+    got = {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
