@@ -12,7 +12,8 @@ from weftline.operators.graph import least_labels
 
 
 def joined(text: Column, order: Sequence[str | Column], joiner: str) -> Column:
-    """Aggregate: texts joined in order. A group's texts meet in one task, as they must in one value."""
+    """Aggregate: texts joined in order. A group's texts meet in one task, as they must in one value, which Spark limits to 2 GB: builders are for groups of that
+    size, and without a group for tables of that size."""
     rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), text.alias("t"))))
     return F.array_join(F.transform(rows, lambda x: x["t"]), joiner)
 
@@ -114,12 +115,22 @@ def canonical_tag(c: Column) -> Column:
 def tag_clusters(tags: DataFrame, field: str, limit: float = 0.21) -> DataFrame:
     """``tag, cluster``: tags whose edit distance is at most ``limit`` of the longer one, closed transitively.
 
-    Tags are joined on length: a link needs lengths within the limit of each other.
+    By the pigeonhole principle: with at most k edits, one of the k + 1 pieces that the longer tag is cut into occurs whole in the
+    shorter one, at most k places from its own. Tags are joined on such pieces, so a tag only meets those it shares one with.
     """
     t = tags.select(F.col(field).alias("tag")).distinct().withColumn("n", F.length("tag"))
-    near = t.select(F.col("tag").alias("x"), F.col("n").alias("nx"), F.explode(F.sequence(F.ceil(F.col("n") * (1 - limit)).cast("int"), F.col("n"))).alias("ny"))
-    pairs = near.join(t.select(F.col("tag").alias("y"), F.col("n").alias("ny")), "ny").where("x <> y")
-    links = pairs.where(F.levenshtein("x", "y") <= F.greatest("nx", "ny") * limit).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edits = lambda n: F.floor(n * limit + 1e-9).cast("int")
+    edge = lambda i, n: F.floor(i * n / (edits(n) + 1)).cast("int")
+    i, n = F.col("i"), F.col("n")
+    cut = t.withColumn("i", F.explode(F.sequence(F.lit(0), edits(n))))
+    cut = cut.select(F.col("tag").alias("y"), n.alias("ny"), "i", F.substring(F.col("tag"), edge(i, n) + 1, edge(i + 1, n) - edge(i, n)).alias("piece"))
+    ny = F.col("ny")
+    probe = t.withColumn("ny", F.explode(F.sequence(n, F.floor(n / (1 - limit) + 1e-9).cast("int")))).withColumn("i", F.explode(F.sequence(F.lit(0), edits(ny))))
+    first, last = F.greatest(F.lit(0), edge(i, ny) - edits(ny)), F.least(n - (edge(i + 1, ny) - edge(i, ny)), edge(i, ny) + edits(ny))
+    probe = probe.withColumn("p", F.explode(F.when(first <= last, F.sequence(first, last))))
+    probe = probe.select(F.col("tag").alias("x"), "ny", "i", F.substring(F.col("tag"), F.col("p") + 1, edge(i + 1, ny) - edge(i, ny)).alias("piece"))
+    pairs = probe.join(cut, ["ny", "i", "piece"]).where("x <> y").select("x", "y", "ny").distinct()
+    links = pairs.where(F.levenshtein("x", "y") <= F.col("ny") * limit).select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = least_labels(links)
     return t.join(roots.withColumnRenamed("node", "tag"), "tag", "left").select("tag", F.coalesce("label", "tag").alias("cluster"))
 
@@ -135,9 +146,11 @@ def related_tags(rows: DataFrame, key: str, tag: str, top: int = 200) -> DataFra
 
 
 def newsletter(summary: DataFrame, articles: DataFrame, metrics: DataFrame, analysis: str, order: Sequence[str]) -> DataFrame:
-    """One row of three ordered lists and the analysis; each list is ordered by ``order`` where the table has it."""
+    """One row of three ordered lists and the analysis; each list is ordered by ``order`` where the table has it and has ``MAX_CHOICES`` rows at most."""
 
     def listed(df: DataFrame, name: str) -> DataFrame:
+        if df.limit(MAX_CHOICES + 1).count() > MAX_CHOICES:
+            raise ValueError(f"{name} has more than {MAX_CHOICES} rows")
         by = [c for c in order if c in df.columns] or df.columns
         rows = F.array_sort(F.collect_list(F.struct(F.struct(*by).alias("o"), F.struct(*df.columns).alias("r"))))
         return df.agg(F.transform(rows, lambda x: x["r"]).alias(name))

@@ -15,6 +15,9 @@ from weftline.functions.template import expression, fill_slots, render
 from weftline.functions.text import simplify
 
 
+MAX_LIST = 100_000
+
+
 def names(text: str, stripped: bool = True) -> list[str]:
     return [x.strip() if stripped else x for x in text.split(",")]
 
@@ -30,7 +33,9 @@ def set_record(df: DataFrame, name: str, record: DataFrame) -> DataFrame:
 
 
 def set_table(df: DataFrame, name: str, table: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Set a field to all rows of ``table`` as an ordered list. The table is a parameter: it must fit in a row."""
+    """Set a field to all rows of ``table`` as an ordered list. The table is a parameter of at most ``MAX_LIST`` rows: it must fit in a row."""
+    if table.limit(MAX_LIST + 1).count() > MAX_LIST:
+        raise ValueError(f"more than {MAX_LIST} rows")
     rows = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*table.columns).alias("r")))), lambda x: x["r"])
     return df.crossJoin(F.broadcast(table.agg(rows.alias(name))))
 
