@@ -20,8 +20,8 @@ Added by the method:
 * ``pem``: the opening line of a private key.
 
 Positions are code points, the end exclusive. Defined cases: null and empty texts have no
-spans; repeated rows are scanned one by one; an empty table gives an empty result. Texts
-are scanned whole. Other columns are not read.
+spans; spans that start at one place are ordered by kind as listed; repeated rows are scanned one by one; an
+empty table gives an empty result. Texts of any length are scanned whole. Other columns are not read.
 """
 
 from __future__ import annotations
