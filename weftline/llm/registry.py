@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, line_dedup, lm_score, ngram_join, quality, secret_scan, source_mix, substring_dedup, url_filter
+from weftline.llm import (
+    centroid_clusters,
+    decontaminate,
+    exact_dedup,
+    line_dedup,
+    lm_score,
+    merkle_manifest,
+    ngram_join,
+    quality,
+    secret_scan,
+    source_mix,
+    substring_dedup,
+    tree_search,
+    url_filter,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,10 +29,15 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_url_filter": url_filter.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_centroid_clusters": centroid_clusters.query,
+    "op12_tree_search": tree_search.query,
+    "op13_merkle_manifest": merkle_manifest.query,
 }
 
 ORACLES = {
     "op2_source_mix": source_mix.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op11_centroid_clusters": centroid_clusters.ORACLE,
+    "op13_merkle_manifest": merkle_manifest.ORACLE,
 }
