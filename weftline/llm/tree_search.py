@@ -9,7 +9,8 @@
    for ``PROBES`` queries the true neighbours are found by brute force over the whole table, in one scan, and the visits widen until the mean share found reaches ``RECALL``. A query that has met
    fewer than ``k + 1`` rows goes on beyond that.
 5. Queries meet the rows of a leaf in blocks of bounded size (``BLOCK`` rows, ``QUERIES`` queries): a leaf of any size is many groups. Each group scores its pairs in one product and hands on the best
-   ``k + 1`` rows of each query; a window keeps the best of all. Scores are then sums of products in order, in double precision.
+   ``k + 1`` rows of each query; a window keeps the best of all. Scores are then sums of products in order, in double precision. The first ``FIRST`` leaves of a query give it a floor, the
+   last score it would keep so far, and the others only hand on rows that reach it.
 
 The fit on a bounded sample is the index's only bound; it is documented here, and all rows are indexed and all queries searched.
 
@@ -37,7 +38,7 @@ K, EVERY = 20, 20
 SAMPLE, BRANCH, LEAF = 32_768, 8, 512
 #: Leaves of a small table, and leaves at most: their centres travel with the tasks.
 LEAST_LEAVES, MOST_LEAVES = 32, 2048
-PROBES, RECALL = 200, 0.96
+PROBES, RECALL, FIRST = 200, 0.96, 4
 BLOCK, QUERIES, SALTS = 2048, 1024, 16
 
 
@@ -141,17 +142,18 @@ def first_of(query: np.ndarray, score: np.ndarray, low: np.ndarray, k: int) -> n
     return order[rank < k]
 
 
-def best(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, row and score of the ``k`` best rows of each query, ties by ``low``, the least id of a row.
+def best(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int, floor: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and score of the ``k`` best rows of each query that reach its ``floor``, ties by ``low``, the least id of a row.
 
     One product finds all rows that may be among them, whatever its rounding; those get their score in order."""
     rough = q @ x.T
-    if len(x) > k:
-        slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        query, at = np.nonzero(rough >= (np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] - slack)[:, None])
-    else:
-        query, at = (a.ravel() for a in np.indices(rough.shape))
+    floor = np.broadcast_to(np.asarray(floor, dtype=np.float64), len(q))
+    slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+    least = np.maximum(floor, np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]) if len(x) > k else floor
+    query, at = np.nonzero(rough >= (least - slack)[:, None])
     score = ordered_dot(q[query], x[at])
+    reach = score >= floor[query]
+    query, at, score = query[reach], at[reach], score[reach]
     first = first_of(query, score, low[at], k)
     return query[first], at[first], score[first]
 
@@ -261,35 +263,50 @@ def routed(asked: DataFrame, tree: Tree, rows_in: dict[int, int], visits: int, d
     return asked.select("key", "vec").mapInArrow(route, "key binary, vec binary, leaves array<int>")
 
 
-def neighbours(table: DataFrame, routes: DataFrame, rows_in: dict[int, int], dim: int, k: int) -> DataFrame:
-    """``key, score, id, own``: the best ``k`` of the rows each query meets, own ones marked."""
+def met(table: DataFrame, routes: DataFrame, rows_in: dict[int, int], dim: int, k: int) -> DataFrame:
+    """``key, score, id, own``: the best ``k`` of the rows in the ``leaves`` of each query that reach its ``floor``, own ones marked."""
     spark = table.sparkSession
     asked_in = {r["leaf"]: r["n"] for r in routes.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
     sizes = [(leaf, -(-rows_in[leaf] // BLOCK), -(-n // QUERIES)) for leaf, n in asked_in.items()]
     sizes = F.broadcast(spark.createDataFrame(sizes, "leaf int, blocks int, parts int"))  # a row for each leaf
     deal = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = table.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int").alias("block"), deal("parts").alias("part"), "key", "low", "ids", "vec")
-    right = routes.select("key", "vec", F.explode("leaves").alias("leaf")).join(sizes, "leaf")
-    right = right.select("leaf", deal("blocks").alias("block"), F.pmod(F.xxhash64("key", F.lit("part")), F.col("parts")).cast("int").alias("part"), "key", "vec")
+    right = routes.select("key", "vec", "floor", F.explode("leaves").alias("leaf")).join(sizes, "leaf")
+    right = right.select("leaf", deal("blocks").alias("block"), F.pmod(F.xxhash64("key", F.lit("part")), F.col("parts")).cast("int").alias("part"), "key", "vec", "floor")
 
     def score(rows: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["key", "score", "id", "own"]
         if not rows.num_rows or not queries.num_rows:
             return pa.table([pa.array([], t) for t in (pa.binary(), pa.float64(), pa.int64(), pa.bool_())], names)
-        low = rows.column("low").to_numpy()
-        i, at, s = best(matrix(queries.column("vec"), dim), matrix(rows.column("vec"), dim), low, k)
+        low, floor = rows.column("low").to_numpy(), queries.column("floor").to_numpy()
+        i, at, s = best(matrix(queries.column("vec"), dim), matrix(rows.column("vec"), dim), low, k, floor)
         asked, key, ids = queries.column("key").to_pylist(), rows.column("key").to_pylist(), rows.column("ids").to_pylist()
-        times = np.array([len(ids[a]) for a in at.tolist()])
-        own = [asked[j] == key[a] for j, a in zip(i.tolist(), at.tolist(), strict=True)]
+        times = np.array([len(ids[a]) for a in at.tolist()], dtype=np.int64)
+        own = np.array([asked[j] == key[a] for j, a in zip(i.tolist(), at.tolist(), strict=True)], dtype=bool)
         flat = [v for a in at.tolist() for v in ids[a]]
         return pa.table([pa.array([asked[j] for j in np.repeat(i, times).tolist()], pa.binary()), pa.array(np.repeat(s, times)), pa.array(flat, pa.int64()), pa.array(np.repeat(own, times))], names)
 
     groups = ("leaf", "block", "part")
-    pairs = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(score, "key binary, score double, id long, own boolean")
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(score, "key binary, score double, id long, own boolean")
+
+
+def firsts(pairs: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def neighbours(table: DataFrame, routes: DataFrame, rows_in: dict[int, int], dim: int, k: int) -> DataFrame:
+    """``key, score, id, own, rank``: the best ``k`` of the rows each query meets."""
+    some = routes.select("key", "vec", F.lit(float("-inf")).alias("floor"), F.slice("leaves", 1, FIRST).alias("leaves"))
+    near = keep(firsts(met(table, some, rows_in, dim, k), k), "tree-first")
+    rest = routes.select("key", "vec", F.slice("leaves", FIRST + 1, MOST_LEAVES * BRANCH).alias("leaves")).where(F.size("leaves") > 0)
+    if rest.isEmpty():
+        return near
+    floors = near.where(F.col("rank") == k).select("key", F.col("score").alias("floor"))
+    rest = rest.join(floors, "key", "left").select("key", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "leaves")
+    return firsts(near.drop("rank").unionByName(met(table, rest, rows_in, dim, k)), k)
+
+
 def answers(near: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The neighbours of each query row, but for itself. Rows of one vector share a search."""
     entry = F.array_sort(F.collect_list(F.struct("rank", "id", "score", "own"))).alias("near")  # k + 1 entries
