@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and their defined cases."""
 
+import base64
 import hashlib
 import math
 import random
@@ -272,6 +273,19 @@ def test_secrets(spark):
     assert "forge:2:42" in got[27].spans and got[27].n_added == 1 and got[29].spans.startswith("pem:")
 
 
+def test_hostile_tokens(spark):
+    coded = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    tail = "." + coded(b'{"sub":1}') + "." + "b" * 30
+    heads = [b'{"a":' + b"[" * 200_000, b"{no json", b'{"a":1}', b'{"alg":"x"}', b"{" + b"\xff" * 40, b'{"alg":' + b"1" * 10_000 + b"}", b'{"a":"' + b"x" * 1_000_000 + b'"}']
+    docs = [(i, "token " + coded(h) + tail) for i, h in enumerate(heads)]
+    got = {r.doc_id: r for r in secret_scan.secret_scan(table(spark, docs)).collect()}
+    assert [i for i in range(len(heads)) if "jwt:" in got[i].spans] == [3]
+    runs = [(0, "eyJ" * 400_000 + " eyJhbGciOiJ4In0" + tail), (1, "eyJ" * 100_000 + ".eyJ" + "x" * 100_000)]
+    assert [r.spans.count("jwt") for r in secret_scan.secret_scan(table(spark, runs)).orderBy("doc_id").collect()] == [1, 0]
+    for d, t in docs:
+        assert got[d].base_sha256 == hashlib.sha256(base_spans(t).encode()).hexdigest()
+
+
 @pytest.mark.parametrize(("wide", "block"), [(24, 500_000), (2, 500_000), (2, 200)])
 def test_ngram_groups(spark, wide, block):
     docs = [*ODD, *prose(2, 80, 40), *((500 + i, "one two three four five six seven eight nine " + "ten " * (i % 4)) for i in range(40))]
@@ -296,6 +310,31 @@ def test_exact_with_clashing_digests(spark):
         assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == want
 
 
+def test_exact_salts_before_texts_meet(spark):
+    """With no list small enough to broadcast, texts are combined in place and dealt by salt before any of a digest meet."""
+    docs = table(spark, [(i, "copy" if i % 3 else f"own {i}") for i in range(600)]).repartition(6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = exact_dedup.keyed(docs, "doc_id", "text", exact_dedup.SALTS, exact_dedup.sha256)
+        _, maybe = exact_dedup.parted(rows, exact_dedup.shared_digests(rows))
+        plan = exact_dedup.winners_of(maybe)._jdf.queryExecution().executedPlan().toString()
+        got = exact_dedup.exact_dedup(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moves = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "__text" in line]
+    assert re.search(r"hashpartitioning\(__digest#\d+, __text#\d+, __salt#\d+", moves[-1]) and "SortMergeJoin" not in plan
+    below = plan.split("\n")[plan.split("\n").index(moves[-1]) + 1]
+    assert "Aggregate" in below and "partial_max" in below
+    assert {(r.keep_id, r.group_size) for r in got if r.group_size > 1} == {(599, 400)} and len(got) == 600
+
+
+def test_exact_stage_takes_the_same_row_each_time(spark, sf):
+    docs = spark.createDataFrame([(1, "x", c, None, n, {"k": c or ""}) for c, n in (("b", 1), ("a", 2), (None, 3), ("a", 1))], "doc_id long, text string, lang string, source string, n_chars long, m map<string,string>")
+    got = {tuple(map(str, exact_dedup.stage(spark, docs.repartition(n), sf).first())) for n in (1, 3, 4)}
+    assert len(got) == 1
+
+
 def test_lm_base_and_model(spark):
     docs = [*ODD, *prose(3, 60)]
     got = {r.doc_id: r for r in lm_score.lm_score(table(spark, docs), steps=20).collect()}

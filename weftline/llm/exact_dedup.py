@@ -9,7 +9,8 @@ digests never stand in for equal texts:
    is spread over ``salts`` tasks,
 3. across the salts, where at most ``salts`` rows of a text meet.
 
-The winners are dealt to the rows again by digest and salt. A filter of fixed size keeps settled rows out of that shuffle.
+The winners are dealt to the rows again by digest and salt. A Bloom filter of the shared digests, as large as their count asks for up to ``MOST_BLOCKS``, keeps
+settled rows out of both shuffles; a digest that it lets through by chance is a group of one. No step brings the texts of a digest together before they are combined.
 
 Null text counts as the empty text. Of equal texts the row with the largest id stays; a null id stays only where its whole
 group has none. Rows that repeat id and text share one decision here; of the stage's result exactly one row of each text
@@ -28,8 +29,8 @@ from weftline.llm import bloom
 from weftline.llm.base import keep, read, text_key
 
 SALTS = 16
-#: 65,536 blocks of 64 bytes: 4 MB. A full filter lets more rows into the shuffle and changes no result.
-BLOCKS = 1 << 16
+#: Digests to a block of 512 bits, and the most blocks: a filter of 75 MB. A full filter lets more rows into the shuffle and changes no result.
+PER_BLOCK, MOST_BLOCKS = 32, 1 << 20
 
 
 def sha256(text: Column) -> Column:
@@ -49,12 +50,13 @@ def shared_digests(rows: DataFrame) -> DataFrame:
 
 def parted(rows: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows that certainly have a digest of their own, and those that may share it."""
-    probed = bloom.probe(rows, "__digest", bloom.build(shared, "__digest", BLOCKS), BLOCKS, "__maybe")
+    blocks = min(MOST_BLOCKS, max(1024, -(-shared.count() // PER_BLOCK)))
+    probed = bloom.probe(rows, "__digest", bloom.build(shared, "__digest", blocks), blocks, "__maybe")
     return probed.where("NOT __maybe").drop("__maybe"), probed.where("__maybe").drop("__maybe")
 
 
 def winners_of(rows: DataFrame) -> DataFrame:
-    """``__digest, __text, keep_id, group_size`` of each text among the rows."""
+    """``__digest, __text, keep_id, group_size`` of each text among the rows. The first grouping combines before its shuffle and deals by salt."""
     salted = rows.groupBy("__digest", "__text", "__salt").agg(F.max("__id").alias("keep_id"), F.count("*").alias("n"))
     return salted.groupBy("__digest", "__text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
@@ -64,8 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keyed(docs.select(id_col, text_col), id_col, text_col, salts, digest)
     shared = shared_digests(rows)
     single, maybe = parted(rows.select("__id", "__text", "__digest", "__salt"), shared)
-    together = maybe.join(shared, "__digest", "left_semi")
-    winners = keep(winners_of(together), "exact-winners")
+    winners = keep(winners_of(maybe), "exact-winners")
     clashing = keep(winners.groupBy("__digest").agg(F.count("*").alias("n")).where("n > 1").select("__digest"), "exact-clashing")
     plain = winners.join(clashing, "__digest", "left_anti").select("__digest", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     # a digest of one text: the rows need not carry theirs
@@ -74,7 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     said = out.select(F.col("__id").alias("doc_id"), F.col("__digest").alias("digest"), F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     said = said.unionByName(single.select(F.col("__id").alias("doc_id"), F.col("__digest").alias("digest"), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
     if not clashing.isEmpty():  # different texts under one digest: these rows are matched by their text
-        odd = together.join(clashing, "__digest", "left_semi")
+        odd = maybe.join(clashing, "__digest", "left_semi")
         by_text = winners.join(clashing, "__digest", "left_semi").select("__digest", "__text", "keep_id", "group_size")
         said = said.unionByName(odd.join(by_text, ["__digest", "__text"]).select(F.col("__id").alias("doc_id"), F.col("__digest").alias("digest"), "keep_id", "group_size"))
     return said.select(
@@ -91,18 +92,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, with all its columns: one with the largest id. Rows with null or repeated ids are told apart by their texts."""
+    """One row of each text, with all its columns: one with the largest id. Rows with null or repeated ids are told apart by their texts; of rows alike in both, the one whose
+    other columns come first as JSON stays."""
     rows = keyed(docs, "doc_id", "text", SALTS, sha256)
-    shared = shared_digests(rows)
-    single, maybe = parted(rows, shared)
-    together = maybe.join(shared, "__digest", "left_semi")
-    alone = single.unionByName(maybe.join(shared, "__digest", "left_anti"))
+    single, maybe = parted(rows, shared_digests(rows))
     key = text_key(F.col("__text")).alias("__key")
-    best = keep(winners_of(together.select("__id", "__text", "__digest", "__salt")).select("__digest", key, F.col("keep_id").alias("__keep")), "exact-winners")
+    best = keep(winners_of(maybe.select("__id", "__text", "__digest", "__salt")).select("__digest", key, F.col("keep_id").alias("__keep")), "exact-winners")
     best = best.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    first = together.select("*", key).join(best, ["__digest", "__salt", "__key"]).where(F.col("__id").eqNullSafe(F.col("__keep")))
-    first = first.dropDuplicates(["__digest", "__text"])
-    return alone.select(*docs.columns).unionByName(first.select(*docs.columns))
+    first = maybe.select("*", key).join(best, ["__digest", "__salt", "__key"]).where(F.col("__id").eqNullSafe(F.col("__keep")))
+    others = F.to_json(F.struct(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("__null")), {"ignoreNullFields": "false"})
+    first = first.groupBy("__digest", "__text").agg(F.min_by(F.struct(*docs.columns), others).alias("__row")).select("__row.*")
+    return single.select(*docs.columns).unionByName(first)
 
 
 ORACLE = """

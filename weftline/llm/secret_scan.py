@@ -46,7 +46,8 @@ FORGE = re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 KINDS = ("assign", "access", "hex", "forge", "jwt", "pem")
-BASE = 3
+BASE, JWT_KIND = 3, KINDS.index("jwt")
+RUN = re.compile(r"[A-Za-z0-9_-]*")
 #: Keywords in lower case, with the kind whose pattern can start there.
 KEYWORDS = {"password": 0, "passwd": 0, "secret": 0, "token": 0, "apikey": 0, "api_key": 0, "akia": 1, "eyj": 4, "-----begin": 5} | {f"gh{c}_": 3 for c in "pousr"}
 PATTERNS = {0: ASSIGN, 1: ACCESS, 3: FORGE, 4: JWT, 5: PEM}
@@ -80,7 +81,7 @@ def jwt_holds(token: str) -> bool:
     head = token.partition(".")[0]
     try:
         told = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested too deeply to be a header
         return False
     return isinstance(told, dict) and "alg" in told
 
@@ -103,10 +104,14 @@ def spans_of(text: str, a: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     for kind, at in starts:
         if kind != last:
             last, free = kind, 0
-        if at >= free and (m := PATTERNS[kind].match(text, at)):
+        if at < free:
+            continue
+        if m := PATTERNS[kind].match(text, at):
             free = m.end()
             if holds(kind, m):
                 found.append((at, kind, free))
+        elif kind == JWT_KIND:  # what follows the run decides, for later starts in it too
+            free = RUN.match(text, at).end()
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
 
