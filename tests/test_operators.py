@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from exact_assignment import solve_assignment
 from pyspark.sql import functions as F
 
 from weftline.functions import template, text
@@ -113,7 +114,7 @@ def test_assignment_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(20):
         score, doc = rng.standard_normal((5, 2)), [0, 0, 1, 1, 2]
-        got = vectors.solve_assignment(score, doc, 1, 2, 1)
+        got = solve_assignment(score, doc, 1, 2, 1)
         best = None
         for pick in itertools.product([None, 0, 1], repeat=5):
             if pick.count(0) == pick.count(1) == 2 and all(any(pick[i] is not None for i in range(5) if doc[i] == d) for d in (0, 1, 2)):
@@ -121,7 +122,7 @@ def test_assignment_is_optimal():
                 best = total if best is None else max(best, total)
         assert abs(sum(score[c, g] for c, g in got) - best) < 1e-9
     with pytest.raises(ValueError):
-        vectors.solve_assignment(np.zeros((2, 2)), [0, 0], 1, 2, 1)
+        solve_assignment(np.zeros((2, 2)), [0, 0], 1, 2, 1)
 
 
 def test_components_and_versions(spark):

@@ -55,7 +55,7 @@ def affinity(spark, d):
 def anchored_top_k(spark, d):
     e = t(spark, d, "embeddings")
     a = t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("g"), F.col("embedding").alias("q"))
-    return vectors.anchored_top_k(e, "vec_id", "label", "embedding", a, "g", "q", 1, 5, 1)
+    return vectors.anchored_top_k(e, "vec_id", "label", "embedding", a, "g", "q", 1, 5, 1).rows
 
 
 @B.add()
