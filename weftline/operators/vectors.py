@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import assignment
+from weftline.operators.graph import written
 from weftline.operators.order import keep_first
 
 MAX_QUERIES = 1000
@@ -56,20 +57,30 @@ def top_k_any(df: DataFrame, key: str, vector: str, queries: DataFrame, query_ve
     return far.groupBy(key).agg(F.min("d").alias("dist")).orderBy("dist", key).limit(k)
 
 
-def top_k_uniform(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
-    """``key, query, dist``: k // q rows for each query in turn, none twice."""
+def top_k_uniform(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, rounds: int = 1000) -> DataFrame:
+    """``key, query, dist``: k // q rows for each query, none twice; a row goes to the query with the least key that wants it.
+
+    Deferred acceptance: each query asks for the best rows of its list that no query before it holds, a row goes to the first that asks, and the rounds end once nothing
+    changes. No query needs more of its list than the rows that all queries take together, at most k."""
     n = queries.count()
     each = k // max(1, n)
-    rows = queries.select(query_key, query_vector).orderBy(query_key).collect() if each else []  # at most k queries, else none gets a row
-    out: list[tuple] = []
-    for r in rows:
-        q = F.array(*(F.lit(float(x)) for x in r[1]))
-        taken = [o[0] for o in out]  # at most k keys
-        left = df.where(~F.col(key).isin(taken)) if taken else df
-        best = left.select(key, (1 - cosine(F.col(vector), q)).alias("dist")).orderBy("dist", key).limit(each).collect()
-        out += [(b[0], r[0], b[1]) for b in best]
-    kind = {f.name: f.dataType.simpleString() for f in [*df.schema.fields, *queries.schema.fields]}
-    return df.sparkSession.createDataFrame(out, f"{key} {kind[key]}, query {kind[query_key]}, dist double")
+    nearest = [
+        df.crossJoin(q).select("query", key, (1 - cosine(F.col(vector), F.col("__q"))).alias("dist"))
+        for q in in_blocks(queries.select(F.col(query_key).alias("query"), F.col(query_vector).alias("__q")), "query")
+    ]
+    first = lambda rows, most: rows.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy("dist", key))).where(F.col("__r") <= most).drop("__r")
+    lists = written(reduce(DataFrame.unionByName, (first(p, each * n) for p in nearest)))
+    held, before = written(lists.limit(0)), None
+    for _ in range(rounds):
+        holder = held.select(F.col(key).alias("__k"), F.col("query").alias("__holder"))
+        free = lists.join(holder, F.col(key) == F.col("__k"), "left").where(F.col("__holder").isNull() | (F.col("__holder") >= F.col("query"))).select(*lists.columns)
+        asked = first(free, each)
+        held = written(asked.groupBy(key).agg(F.min(F.struct("query", "dist")).alias("x")).select(key, "x.query", "x.dist"))
+        now = tuple(held.agg(F.count("*"), F.bit_xor(F.xxhash64(key, "query"))).first())
+        if now == before:
+            return held
+        before = now
+    raise RuntimeError(f"rows did not settle in {rounds} rounds")
 
 
 def top_k_capped(df: DataFrame, key: str, group: str, vector: str, query: DataFrame, query_vector: str, k: int, per_group: int) -> DataFrame:
@@ -89,6 +100,39 @@ def top_k_queries(df: DataFrame, key: str, vector: str, queries: DataFrame, quer
     return reduce(DataFrame.unionByName, best)
 
 
+def cells_of(df: DataFrame, key: str, vector: str, n_cells: int = 64) -> DataFrame:
+    """``key, vec, cell, gap``: unit vectors, the nearest of ``n_cells`` rows chosen by hash, and the distance to it. Written once; serves any number of searches."""
+    unit = lambda v: F.transform(v.cast("array<double>"), lambda x: x / F.sqrt(dot(v, v)))
+    rows = df.select(F.col(key), unit(F.col(vector)).alias("vec"))
+    centres = rows.orderBy(F.xxhash64(key), key).limit(n_cells).agg(F.collect_list("vec").alias("__centres"))  # n_cells vectors
+    near = F.array_min(F.transform("__centres", lambda c, i: F.struct((2 - 2 * dot(F.col("vec"), c)).alias("d"), i.alias("i"), c.alias("c"))))
+    return written(rows.crossJoin(F.broadcast(centres)).withColumn("__n", near).select(key, "vec", F.col("__n.i").alias("cell"), F.sqrt(F.greatest(F.lit(0.0), F.col("__n.d"))).alias("gap"), F.col("__n.c").alias("centre")))
+
+
+def pruned_top_k(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, n_cells: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``top_k_queries``, and ``query, cell, n``: the cells each query was scored against, with their rows.
+
+    A cell has a centre and a radius, the largest distance of its rows to it. A query takes its nearest cells until they hold ``k`` rows and scores those; the k-th distance then
+    kills each cell whose centre is further away than that distance and the radius together, by the triangle inequality."""
+    table = cells_of(df.select(key, vector), key, vector, n_cells)
+    cells = F.broadcast(table.groupBy("cell").agg(F.max("gap").alias("radius"), F.count("*").alias("n"), F.first("centre").alias("centre")))  # n_cells rows
+    asked = written(queries.select(F.col(query_key).alias("query"), F.col(query_vector).cast("array<double>").alias("q")))
+    unit = F.transform("q", lambda x: x / F.sqrt(dot(F.col("q"), F.col("q"))))
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(unit, F.col("centre"))))
+    order = Window.partitionBy("query").orderBy("far", "cell")
+    met = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs = written(asked.crossJoin(cells).select("query", "cell", "n", "radius", far.alias("far")).withColumn("first", met < k))
+    score = lambda p: p.select("query", "cell").join(asked, "query").join(table.select(key, "vec", "cell"), "cell").select("query", key, dot(F.col("vec"), F.col("q")).alias("s"), dot(F.col("q"), F.col("q")).alias("qq"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), key))
+    best = lambda rows: rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    seen = written(best(score(pairs.where("first")).select("query", key, (F.col("s") / F.sqrt("qq")).alias("sim"))))
+    reach = seen.where(F.col("rank") == k).select("query", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim"))).alias("reach"))
+    left = pairs.where("NOT first").join(reach, "query", "left").where(F.col("reach").isNull() | (F.col("far") <= F.col("reach") + F.col("radius") + 1e-7))
+    more = score(left).select("query", key, (F.col("s") / F.sqrt("qq")).alias("sim"))
+    scored = pairs.where("first").select("query", "cell", "n").unionByName(left.select("query", "cell", "n"))
+    return best(seen.drop("rank").unionByName(more)), scored
+
+
 def first_hits(hits: DataFrame, file: str, order: Sequence[str]) -> DataFrame:
     """One hit per file, the first in order."""
     return keep_first(hits, [file], order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import prompts, providers, vectors
+from weftline.operators import main_text, prompts, providers, vectors
 from weftline.queries.base import Book
 from weftline.session import table as t
 
@@ -39,10 +39,26 @@ def topk_queries(spark, d):
     return vectors.top_k_queries(t(spark, d, "embeddings"), "vec_id", "embedding", q, "qid", "q", 5).select("query", "vec_id", F.round("sim", 6).alias("sim"))
 
 
-@B.add()
+@B.add(f"""WITH RECURSIVE q AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS t, count(*) OVER () AS n FROM embeddings WHERE vec_id % 50 = 0),
+r AS (SELECT q.t, q.n, b.vec_id AS query, a.vec_id, 1 - {COS} AS dist FROM q JOIN embeddings b ON b.vec_id = q.vec_id CROSS JOIN embeddings a),
+l AS (SELECT t, n, list(vec_id ORDER BY dist, vec_id) AS ids FROM r GROUP BY t, n),
+s AS (SELECT 0::BIGINT AS t, []::BIGINT[] AS used, []::BIGINT[] AS got UNION ALL
+      SELECT l.t, list_concat(s.used, list_filter(l.ids, lambda x: NOT list_contains(s.used, x))[1:200 // l.n]), list_filter(l.ids, lambda x: NOT list_contains(s.used, x))[1:200 // l.n] FROM s JOIN l ON l.t = s.t + 1)
+SELECT r.vec_id, r.query, round(r.dist, 6) AS dist FROM (SELECT t, unnest(got) AS vec_id FROM s) g JOIN r ON r.t = g.t AND r.vec_id = g.vec_id""")
 def topk_uniform(spark, d):
     q = t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return vectors.top_k_uniform(t(spark, d, "embeddings"), "vec_id", "embedding", q, "qid", "q", 200)
+    return vectors.top_k_uniform(t(spark, d, "embeddings"), "vec_id", "embedding", q, "qid", "q", 200).select("vec_id", "query", F.round("dist", 6).alias("dist"))
+
+
+@B.add(f"SELECT b.vec_id AS query, a.vec_id, round({COS}, 6) AS sim FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS} DESC, a.vec_id) <= 5")
+def topk_pruned(spark, d):
+    q = t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return vectors.pruned_top_k(t(spark, d, "embeddings"), "vec_id", "embedding", q, "qid", "q", 5)[0].select("query", "vec_id", F.round("sim", 6).alias("sim"))
+
+
+@B.add(main_text.oracle())
+def main_runs(spark, d):
+    return main_text.main_text(t(spark, d, "pages"), "page_id", "html")
 
 
 @B.add("SELECT a.vec_id, b.label AS \"group\", round(avg(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 GROUP BY ALL")
