@@ -63,3 +63,21 @@ def test_fixed_lists():
     assert documents.remove_bibliography("# Sources\nx\n# Citations\ny") == "# Sources\nx\n# Citations\ny"  # two of them: neither goes
     e = biblio.ris("TY  - CPAPER\nDI  - 10.1/a\nDOI - 10.1/abc\nBT  - Book\nT3  - A longer one\nK1  - k\nPB  - P\nU3  - 2019\nER  -")[0]
     assert (e["type"], e["doi"], e["title"], e["keywords"], e["date"], e["full_entry"]["PB"]) == (["Conference Paper"], "10.1/abc", "A longer one", ["k"], "2019-01-01", ["P"])
+
+
+def test_new_ids_of_parents_agree(spark):
+    nodes = spark.createDataFrame([(i, (i - 1) // 3 if i else None, f"n{i}") for i in range(25)], "node int, parent int, name string").repartition(5)
+    made = versioned.with_uuids(nodes, "node", "parent").repartition(3)
+    name_of = {r.node: r.name for r in made.collect()}
+    again = made.groupBy("name").agg(F.first("node").alias("node"), F.first("parent").alias("parent")).collect()  # computed anew
+    assert len(name_of) == 25 and {r["name"]: name_of.get(r.parent) for r in again} == {f"n{i}": f"n{(i - 1) // 3}" if i else None for i in range(25)}
+
+
+def test_sinks_get_bounded_batches(spark, tmp_path):
+    from weftline.operators import providers
+
+    def put(texts):
+        (tmp_path / f"{texts[0]}").write_text(str(len(texts)))
+
+    providers.deliver(spark.range(25).selectExpr("cast(id as string) AS t").coalesce(1), "t", put, batch=10)
+    assert sorted(int(p.read_text()) for p in tmp_path.iterdir()) == [5, 10, 10]

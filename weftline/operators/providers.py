@@ -12,6 +12,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -137,12 +138,12 @@ def fetch(df: DataFrame, url: str, get: Provider, name: str = "html", skip: Colu
     return asked.mapInPandas(run, kinds)
 
 
-def deliver(df: DataFrame, text: str, put: Callable[[list[str]], None]) -> None:
-    """Send rows to an outside sink, a partition at a time. Sinks must accept a row twice: tasks may be repeated."""
+def deliver(df: DataFrame, text: str, put: Callable[[list[str]], None], batch: int = 500) -> None:
+    """Send rows to an outside sink, at most ``batch`` at a time. Sinks must accept a row twice: tasks may be repeated."""
 
     def run(rows: Iterator) -> None:
-        part = [r[text] for r in rows]
-        if part:
+        texts = (r[text] for r in rows)
+        while part := list(islice(texts, batch)):
             with_retries(put, part)
 
     df.foreachPartition(run)

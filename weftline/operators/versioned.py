@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.documents import Node, parse, parsed_rows
+from weftline.operators.graph import written
 from weftline.operators.special import load_yaml
 
 ROWS = "information int, parent int, place int, kind string, title string, abstract string, contents string, refs string"
@@ -289,8 +290,8 @@ def from_plan(plan: dict, files: dict[int, str], to_html: Callable[[str], str] =
 
 
 def with_uuids(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """An adjacency table with new random ids. They are made once per node, so write the result before using it twice."""
-    ids = nodes.select(F.col(node).alias("__old"), F.expr("uuid()").alias("__new"))
+    """An adjacency table with new random ids. They are made once and written, so that nodes and parents agree whenever and however often the result is computed."""
+    ids = written(nodes.select(F.col(node).alias("__old")).distinct().withColumn("__new", F.expr("uuid()")))
     up = ids.select(F.col("__old").alias("__up"), F.col("__new").alias("__new_up"))
     out = nodes.join(ids, nodes[node] == F.col("__old")).join(up, nodes[parent] == F.col("__up"), "left")
     return out.drop(node, parent, "__old", "__up").withColumnsRenamed({"__new": node, "__new_up": parent})
