@@ -5,7 +5,7 @@ import pytest
 from exact_assignment import solve_assignment
 from pyspark.sql import functions as F
 
-from weftline.operators import assignment
+from weftline.operators import assignment, vectors
 
 
 def scores(spark, matrix, document):
@@ -82,3 +82,13 @@ def test_arrays_per_chunk(spark):
     assert got == {"a": ([1, 2], [0.25, 0.5]), "b": ([1], [0.75]), "c": ([], [])}
     assert [r.chunk for r in assignment.strongest(pairs, 2).collect()] == ["b", "a"]
     assert assignment.strongest(pairs, 0).agg(F.count("*")).first()[0] == 3
+
+
+def test_sections_get_chunks_within_limits(spark):
+    r = np.random.default_rng(9)
+    chunks = spark.createDataFrame([(i, i % 3, [float(v) for v in r.standard_normal(4)]) for i in range(18)], "chunk long, doc int, v array<double>")
+    bullets = spark.createDataFrame([(f"s{i % 2}", [float(v) for v in r.standard_normal(4)]) for i in range(5)], "section string, b array<double>")
+    names = spark.createDataFrame([(0, "first"), (1, "second")], "doc int, name string")
+    got = vectors.section_chunks(bullets, "section", "b", chunks, "chunk", "doc", "v", names, "name", 1, 3, 1).collect()
+    assert sorted(g.section for g in got) == ["s0"] * 3 + ["s1"] * 3 and len({g.chunk for g in got}) == 6
+    assert {g.document for g in got} == {0, 1, 2} and all(g.reference == ["first", "second", ""][g.document] and g.document == g.chunk % 3 for g in got)

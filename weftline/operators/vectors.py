@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import assignment
+from weftline.operators import assignment, prompts
 from weftline.operators.graph import written
 from weftline.operators.order import keep_first
 
@@ -177,3 +177,26 @@ def bullet_assignments(bullets: DataFrame, bullet: str, bullet_vector: str, chun
     rows = F.array_sort(F.collect_list(F.struct("rank", F.col(chunk).alias("c"), F.col(text).alias("t"))))  # k rows at most
     held = near.groupBy("query").agg(rows.alias("r"))
     return held.select(F.col("query").alias("bullet"), F.transform("r", lambda x: x["c"]).alias("chunks"), F.array_join(F.transform("r", lambda x: x["t"]), "\n\n").alias("context"))
+
+
+def section_chunks(
+    bullets: DataFrame, section: str, bullet_vector: str, chunks: DataFrame, chunk: str, document: str, vector: str, references: DataFrame, reference: str, per_chunk: int = 1, per_section: int = 1, per_document: int = 1
+) -> DataFrame:
+    """``section, chunk, document, reference, score``: chunks assigned to the sections whose bullets they fit, within the limits; ``references`` has ``document`` and its
+    description, and a document without one gets an empty text."""
+    pairs = anchored_top_k(chunks, chunk, document, vector, bullets, section, bullet_vector, per_chunk, per_section, per_document).rows
+    of = chunks.select(F.col(chunk).alias("chunk"), F.col(document).alias("document"))
+    told = references.select(F.col(document).alias("document"), F.col(reference).alias("reference"))
+    rows = pairs.join(of, "chunk").join(told, "document", "left")
+    return rows.select(F.col("group").alias("section"), "chunk", "document", F.coalesce("reference", F.lit("")).alias("reference"), "score")
+
+
+def search_prompt(chunks: DataFrame, chunk: str, source: str, text: str, vector: str, query: DataFrame, query_vector: str, k: int = 30) -> DataFrame:
+    """One row with ``prompt``: a user message of the chunks nearest to one query by dot product, best first, at most ``k`` and three quarters of all."""
+    most = assignment.group_quota(chunks.count(), 1, 1, k)
+    q = bounded(query.select(F.col(query_vector).alias("__q")), 1)
+    near = chunks.crossJoin(q).withColumn("__s", dot(F.col(vector), F.col("__q"))).orderBy(F.desc("__s"), chunk).limit(most)
+    part = F.concat(F.lit("Chunk ID: "), F.col(chunk).cast("string"), F.lit("\nFrom: "), F.coalesce(F.col(source).cast("string"), F.lit("")), F.lit("\n\n"), F.coalesce(F.col(text), F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("__s")).alias("s"), F.col(chunk).alias("c"), part.alias("p"))))  # k rows at most
+    body = near.agg(F.array_join(F.transform(parts, lambda x: x["p"]), f"\n\n{'=' * 33}\n\n").alias("body"))
+    return body.select(prompts.start("user", F.col("body")).alias("prompt"))

@@ -56,6 +56,16 @@ def topk_pruned(spark, d):
     return vectors.pruned_top_k(t(spark, d, "embeddings"), "vec_id", "embedding", q, "qid", "q", 5)[0].select("query", "vec_id", F.round("sim", 6).alias("sim"))
 
 
+@B.add("""WITH n AS (SELECT least(30, floor(0.75 * count(*))) AS most FROM embeddings),
+r AS (SELECT a.vec_id, a.label, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE b.vec_id = 0),
+k AS (SELECT *, row_number() OVER (ORDER BY s DESC, vec_id) AS n FROM r)
+SELECT string_agg('Chunk ID: ' || vec_id || chr(10) || 'From: ' || label || chr(10) || chr(10) || 'v' || vec_id, chr(10) || chr(10) || repeat('=', 33) || chr(10) || chr(10) ORDER BY k.n) AS content
+FROM k, n WHERE k.n <= n.most""")
+def search_prompt(spark, d):
+    e = t(spark, d, "embeddings").withColumn("text", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    return vectors.search_prompt(e, "vec_id", "label", "text", "embedding", one(spark, d, 0), "q").select(F.col("prompt")[0]["content"].alias("content"))
+
+
 @B.add(main_text.oracle())
 def main_runs(spark, d):
     return main_text.main_text(t(spark, d, "pages"), "page_id", "html")
