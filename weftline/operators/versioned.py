@@ -368,16 +368,21 @@ def referenced_chunks(leaves_refs: DataFrame, chunks: DataFrame, ranked: DataFra
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select("leaf", "document", "chunk", "rank")
 
 
-def mapped_sections(mapping: DataFrame, sections: DataFrame, pages: DataFrame) -> DataFrame:
-    """``task, side, section, text``: the sections a task maps, each with the pages from its own up to the next section's.
+def mapped_sections(mapping: DataFrame, sections: DataFrame, pages: DataFrame, document: tuple[str, ...] = ("side",)) -> DataFrame:
+    """``task, section, text`` and the columns of ``document``: the sections a task maps, each with the pages from its own up to the next section's.
 
-    ``mapping`` has ``task, side, section``; ``sections`` ``side, section, page``; ``pages`` ``side, page, text``.
+    ``mapping`` has ``task, section``, ``sections`` ``section, page`` and ``pages`` ``page, text``, all with the columns of ``document``, which tell one document (or one
+    side of a comparison) from others. Of sections that start on one page each has that page, and the last has those after it. A section without
+    pages isn't in the result. Each page finds its section by a running value within its document, so no pairs of sections and pages are made.
     """
-    upto = F.lead("page").over(Window.partitionBy("side").orderBy("page", "section"))
-    spans = sections.withColumn("stop", F.coalesce(upto, F.col("page") + 1_000_000)).withColumn("stop", F.greatest("stop", F.col("page") + 1)).withColumnRenamed("page", "start")
-    held = mapping.join(spans, ["side", "section"]).join(pages, "side").where("page >= start AND page < stop")
+    keys = list(document)
+    begun = sections.groupBy(*keys, "page").agg(F.array_sort(F.collect_set("section")).alias("begun"))
+    both = pages.join(begun, [*keys, "page"], "full_outer")
+    open_one = F.last(F.element_at("begun", -1), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("page"))
+    held = both.withColumn("held", F.coalesce("begun", F.array(open_one))).where("text IS NOT NULL").select(*keys, "page", "text", F.explode("held").alias("section"))
+    held = mapping.join(held.where("section IS NOT NULL"), [*keys, "section"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n")
-    return held.groupBy("task", "side", "section").agg(text.alias("text"))
+    return held.groupBy("task", *keys, "section").agg(text.alias("text"))
 
 
 def assembled(contents: DataFrame, document: str, path: str, text: str, to_html: Callable[[str], str], template: str = "<html><style>__CSS__</style>__HTML__</html>", css: str = "") -> DataFrame:

@@ -29,9 +29,9 @@ def register(f: Callable, name: str | None = None) -> Callable:
 
 def load() -> dict[str, Operator]:
     """Register every public function of the operator modules that takes and gives tables."""
-    from weftline.operators import aggregate, connect, convert, documents, filters, graph, order, prompts, providers, records, segment, special, vectors, versioned
+    from weftline.operators import aggregate, connect, convert, documents, filters, graph, hosts, order, page_sections, prompts, providers, records, segment, special, vectors, versioned
 
-    for m in (aggregate, connect, convert, documents, filters, graph, order, prompts, providers, records, segment, special, vectors, versioned):
+    for m in (aggregate, connect, convert, documents, filters, graph, hosts, order, page_sections, prompts, providers, records, segment, special, vectors, versioned):
         for n, f in vars(m).items():
             if inspect.isfunction(f) and f.__module__ == m.__name__ and not n.startswith("_"):
                 register(f)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import template
 from weftline.functions import text as tx
-from weftline.operators import aggregate, connect, convert, documents, filters, order, prompts, providers, records, segment, special, vectors, versioned
+from weftline.operators import aggregate, connect, convert, documents, filters, hosts, order, page_sections, prompts, providers, records, segment, special, vectors, versioned
 from weftline.plans import registry
 from weftline.queries.base import Book
 from weftline.session import table as t
@@ -16,6 +16,20 @@ from weftline.sources import biblio, files
 
 B = Book()
 
+#: Paragraphs of the pages get headings: the level by the first letter, the title is the first word.
+HEADS = (("A-H", 2), ("I-S", 3), ("T-Z", 4))
+HEADED_SQL = "html"
+for letters, level in HEADS:
+    HEADED_SQL = f"regexp_replace({HEADED_SQL}, '<p>([{letters}][a-z]*)', '<h{level}>\\1</h{level}><p>\\1', 'g')"
+HEADED_SQL = f"SELECT page_id, {HEADED_SQL} AS html FROM pages"
+
+
+def headed_pages(spark, d):
+    html = F.col("html")
+    for letters, level in HEADS:
+        html = F.regexp_replace(html, f"<p>([{letters}][a-z]*)", f"<h{level}>$1</h{level}><p>$1")
+    return t(spark, d, "pages").select("page_id", html.alias("html"))
+
 
 # records and lists
 
@@ -158,11 +172,15 @@ def verified_json(spark, d):
     return t(spark, d, "documents").select("doc_id", convert.verify(made, kind, ["name", "size"]).alias("ok"))
 
 
-@B.add("SELECT unnest(['name string', 'size_in_cm bigint', 'tags array<string>', 'parts array<struct<weight:double>>', 'topic struct<fit:struct<value:bigint,analysis:string>>']) AS field")
+@B.add("SELECT doc_id, source AS name, n_chars AS size, lang AS tag, n_chars / 2.0::DOUBLE AS weight, n_chars AS fit, lang AS analysis FROM documents")
 def compiled_schemas(spark, d):
+    """Each row as JSON, read back by schemas compiled from field lists."""
     fields = convert.compile_fields([{"name": "Name", "type": "str"}, {"name": "Size in cm", "type": "int"}, {"name": "Tags", "type": "str", "multiple": True}, {"name": "Parts", "fields": [{"name": "Weight", "type": "float"}]}])
     grid = convert.compile_grid([{"name": "Topic", "rows": [{"name": "Fit"}]}])
-    return spark.createDataFrame([(f"{f.name} {f.dataType.simpleString()}",) for f in [*fields.fields, *grid.fields]], "field string")
+    said = F.to_json(F.struct(F.col("source").alias("name"), F.col("n_chars").alias("size_in_cm"), F.array("lang").alias("tags"), F.array(F.struct((F.col("n_chars") / 2).alias("weight"))).alias("parts")))
+    graded = F.to_json(F.struct(F.struct(F.struct(F.col("n_chars").alias("value"), F.col("lang").alias("analysis")).alias("fit")).alias("topic")))
+    df = t(spark, d, "documents").select("doc_id", F.from_json(said, fields).alias("v"), F.from_json(graded, grid).alias("g"))
+    return df.select("doc_id", "v.name", F.col("v.size_in_cm").alias("size"), F.get("v.tags", F.lit(0)).alias("tag"), F.get("v.parts", F.lit(0))["weight"].alias("weight"), F.col("g.topic.fit.value").alias("fit"), F.col("g.topic.fit.analysis").alias("analysis"))
 
 
 @B.add("SELECT doc_id, upper(lang) || '_' || doc_id AS name FROM documents")
@@ -171,9 +189,9 @@ def upper_names(spark, d):
     return convert.map_text(t(spark, d, "documents").select("doc_id", made.alias("raw")), "raw", "name", lambda x: convert.upper_name(x)).drop("raw")
 
 
-@B.add("SELECT range AS i, '' AS value FROM range(7)")
+@B.add("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, '' AS value FROM nation")
 def empty_copies(spark, d):
-    return records.add_index(records.duplicates(spark, 7), "i", ["value"]).select((F.col("i") - 1).alias("i"), "value")
+    return records.add_index(records.duplicates(spark, t(spark, d, "nation").count()), "i", ["value"]).select((F.col("i") - 1).alias("i"), "value")
 
 
 # texts
@@ -363,10 +381,13 @@ def mended_headings(spark, d):
     return connect.cleaned_headings(df, "p", mend).drop("p")
 
 
-@B.add("SELECT unnest(['', 'no heading', 'the first heading is not h1', 'h3 follows h1']) AS fault")
+@B.add(rf"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?i)<h([1-6])\b', 1) AS v FROM ({HEADED_SQL})),
+l AS (SELECT page_id, unnest(v)::INTEGER AS level, generate_subscripts(v, 1) AS k FROM h),
+s AS (SELECT page_id, level, k, lag(level) OVER (PARTITION BY page_id ORDER BY k) AS before FROM l),
+f AS (SELECT page_id, min_by('h' || level || ' follows h' || before, k) AS fault FROM s WHERE level > before + 1 GROUP BY page_id)
+SELECT page_id, CASE WHEN len(v) = 0 THEN 'no heading' WHEN v[1] <> '1' THEN 'the first heading is not h1' ELSE coalesce(fault, '') END AS fault FROM h LEFT JOIN f USING (page_id)""")
 def heading_faults(spark, d):
-    pages = ["<h1>a</h1><h2>b</h2><h1>c</h1>", "<p>x</p>", "<h2>a</h2>", "<h1>a</h1><h3>b</h3>"]
-    return spark.createDataFrame([(connect.headings_fault(p),) for p in pages], "fault string")
+    return convert.map_text(headed_pages(spark, d), "html", "fault", connect.headings_fault).drop("html")
 
 
 # search and files
@@ -532,10 +553,15 @@ def article_cells(spark, d):
     return documents.parsed_rows(t(spark, d, "pages").select("page_id", made.alias("x")), "page_id", "x", documents.article_cells, "title string, text string, images array<string>")
 
 
-@B.add("SELECT true AS many, true AS described")
+@B.add("SELECT n_nationkey, n_name, 1 AS mark FROM nation ORDER BY n_nationkey DESC LIMIT 10")
 def blueprints(spark, d):
-    made = [registry.blueprint(op) for op in registry.load().values()]
-    return spark.createDataFrame([(len(made) > 50, all("output" in b and "inputs" in b for b in made))], "many boolean, described boolean")
+    """A plan whose parameters are the defaults that the operators' blueprints give."""
+    ops = registry.load()
+    keep = registry.blueprint(ops["order.keep_top"])["optional"]["keep"]["default"]
+    top = {"operator": "order.keep_top", "parameters": {"field": "n_nationkey", "order": ["n_nationkey"], "keep": keep}, "inputs": {"df": "marked"}}
+    marked = {"operator": "records.set_field", "parameters": {"name": "mark", "value": 1}, "inputs": {"df": "nation"}}
+    plan = registry.Plan.of({"steps": {"top": top, "marked": marked}, "outputs": ["top"]})
+    return plan.compile({"nation": t(spark, d, "nation").select("n_nationkey", "n_name")})["top"]
 
 
 @B.add("SELECT 3 AS sections, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, sum(len(n_name)) AS size FROM nation")
@@ -546,6 +572,47 @@ def newsletter_row(spark, d):
     return out.select(lists.alias("sections"), F.array_join("articles.n_name", ",").alias("names"), F.aggregate("articles", F.lit(0).cast("long"), lambda s, x: s + F.length(x["n_name"])).alias("size"))
 
 
+# pages
+
+
+def sections_sql(limit):
+    """The rounds of ``page_sections`` as SQL."""
+    out = f"""WITH h AS ({HEADED_SQL}), b AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g') AS html FROM h),
+c AS (SELECT page_id, string_split(regexp_replace(html, '(?i)(<h[1-6][\\s/>])', chr(1) || '\\1', 'g'), chr(1)) AS v FROM b),
+e AS (SELECT page_id, unnest(v) AS part, generate_subscripts(v, 1) AS k FROM c),
+r0 AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, part, nullif(regexp_extract(part, '(?i)^<h([1-6])[\\s/>]', 1), '')::INTEGER AS level,
+trim(regexp_replace(regexp_replace(regexp_extract(part, '{page_sections.HEADING}', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS title,
+length(regexp_replace(part, '<[^>]*>|[ \\t\\r\\n\\f]+', '', 'g')) AS size, 0 AS start, []::VARCHAR[] AS path FROM e WHERE part <> '')"""
+    for i in range(1, 7):
+        out += f""", m{i} AS (SELECT *, min(CASE WHEN pos > start THEN level END) OVER w AS top, sum(size) OVER w AS whole FROM r{i - 1} WINDOW w AS (PARTITION BY page_id, start)),
+k{i} AS (SELECT *, coalesce(pos > start AND level = top AND whole > {limit}, false) AS cut FROM m{i}),
+n{i} AS (SELECT *, max(CASE WHEN cut THEN pos END) OVER run AS into_, last_value(CASE WHEN cut THEN title END IGNORE NULLS) OVER run AS name, bool_or(cut) OVER (PARTITION BY page_id, start) AS any_
+FROM k{i} WINDOW run AS (PARTITION BY page_id, start ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+r{i} AS (SELECT page_id, pos, part, level, title, size, coalesce(into_, start) AS start, CASE WHEN any_ THEN list_append(path, coalesce(name, '')) ELSE path END AS path FROM n{i})"""
+    return out + f""", g AS (SELECT page_id, start, any_value(path) AS path, sum(size)::BIGINT AS size, string_agg(part, '' ORDER BY pos) AS html FROM r6 GROUP BY 1, 2),
+o AS (SELECT page_id, start, path, size, CASE WHEN start > 0 THEN regexp_replace(html, '{page_sections.HEADING}', '') ELSE html END AS html FROM g)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY start) - 1)::INTEGER AS section, array_to_string(path, ' / ') AS path, size, html
+FROM o WHERE NOT (len(path) > 0 AND path[-1] = '' AND trim(html) = '')"""
+
+
+@B.add(sections_sql(400))
+def split_pages(spark, d):
+    found = page_sections.page_sections(headed_pages(spark, d), "page_id", "html", 400)
+    return found.withColumn("path", F.array_join("path", " / "))
+
+
+SUFFIXES = ("com", "net", "org", "example.org", "*.example.net", "!tiontion.example.net")
+
+
+@B.add(r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages), v AS (SELECT page_id, host, string_split(host, '.') AS v FROM h),
+s AS (SELECT page_id, v, CASE WHEN host = 'tiontion.example.net' OR ends_with(host, '.tiontion.example.net') THEN 2 WHEN ends_with(host, '.example.net') THEN 3
+WHEN host = 'example.org' OR ends_with(host, '.example.org') THEN 2 ELSE 1 END AS n, host FROM v)
+SELECT page_id, CASE WHEN host <> '' AND len(v) > n THEN array_to_string(v[len(v) - n:], '.') END AS domain FROM s""")
+def registered_domains(spark, d):
+    rules = spark.createDataFrame([(r,) for r in SUFFIXES], "rule string")
+    return hosts.registered_domains(t(spark, d, "pages").select("page_id", "url"), "url", rules).drop("url")
+
+
 # versioned documents
 
 
