@@ -224,6 +224,57 @@ def test_line_links_against_edit_similarity_alone(spark):
     assert len(got & single) >= 0.97 * len(single) > 100
 
 
+def edits(r, a, k, letters):
+    """``a`` with ``k`` characters changed, lost or added at random places."""
+    a = list(a)
+    for _ in range(k):
+        i = r.randrange(len(a))
+        a[i : i + 1] = {0: [r.choice(letters)], 1: [], 2: [a[i], r.choice(letters)]}[r.randrange(3)]
+    return "".join(a)
+
+
+def found_share(spark, pairs):
+    """The share of pairs of lines with edit similarity 0.8 that are found; no others may be."""
+    docs = [(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    got = {r.doc_id for r in line_dedup.line_dedup(table(spark, docs)).where("n_removed > 0").collect()}
+    want = {2 * i + 1 for i, (x, y) in enumerate(pairs) if distance(x, y) <= max(len(x), len(y)) * 20 // 100}
+    assert got <= want and len(want) > 0.5 * len(pairs)
+    return len(got) / len(want)
+
+
+LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x5200)))
+
+
+def test_lines_with_a_letter_changed_in_every_word(spark):
+    r, pairs = random.Random(21), []
+    for _ in range(60):
+        a = ["".join(r.choices(LATIN, k=9)) for _ in range(10)]
+        b = [w[:i] + "0" + w[i + 1 :] for w in a for i in [r.randrange(9)]]
+        pairs.append((" ".join(a), " ".join(b)))
+    assert found_share(spark, pairs) >= 0.9
+
+
+@pytest.mark.parametrize("least, most, rate", [(5, 9, 0.1), (10, 23, 0.1), (22, 32, 0.1), (40, 40, 0.03), (40, 200, 0.1), (40, 200, 0.19)])
+def test_lines_without_spaces(spark, least, most, rate):
+    r, pairs = random.Random(22), []
+    for letters in (LATIN, HAN):
+        for _ in range(60):
+            a = "".join(r.choices(letters, k=r.randint(least, most)))
+            pairs.append((a, edits(r, a, max(1, int(len(a) * rate)), letters)))
+    assert found_share(spark, pairs) >= 0.9
+
+
+def test_very_long_lines_without_spaces(spark):
+    """Verified by scripts of characters, and in a line of short words without a quadratic distance of its longest ones."""
+    r = random.Random(23)
+    a = "".join(r.choices(HAN, k=100_000))
+    b = "".join(r.choice(HAN) if r.random() < 0.1 else c for c in a)
+    wide = " ".join(["ab cd ef gh"] * 40_000)
+    docs = [(1, a), (2, b), (3, a[::-1]), (4, wide + " " + a), (5, wide + " " + b), (6, "\U0001F600" * 30 + "abcdefgh"), (7, "\U0001F601" * 30 + "abcdefgh")]
+    got = {x.doc_id: x.removed for x in line_dedup.line_dedup(table(spark, docs)).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 6, 7)] == ["", "0", "", "", "", ""]
+
+
 def test_lines_one_word_apart_among_many_that_share_it(spark):
     """A wide block: every line shares its middle, so that blocks are split by fingerprint and stars."""
     r = random.Random(13)
