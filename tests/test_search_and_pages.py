@@ -28,6 +28,12 @@ def test_cells_are_skipped_and_nothing_is_lost(spark):
     assert few.count() == 18
 
 
+def test_equal_vectors_are_at_no_distance(spark):
+    x = np.random.default_rng(4).standard_normal((60, 64))
+    got = vectors.top_k_any(points(spark, x), "id", "v", points(spark, x, "qid"), "v", 20).collect()
+    assert [(g.id, g.dist) for g in got] == [(i, 0.0) for i in range(20)]  # all tie, so the least ids stay
+
+
 def test_queries_that_want_the_same_rows(spark):
     r = np.random.default_rng(2)
     x, q = r.standard_normal((40, 8)), np.tile(r.standard_normal(8), (5, 1)) + 0.001 * r.standard_normal((5, 8))

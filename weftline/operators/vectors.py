@@ -40,7 +40,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Between -1 and 1; equal vectors have exactly 1, since the root is taken of the product. NaN for a vector without length."""
+    length = F.sqrt(dot(a, a) * dot(b, b))
+    c = dot(a, b) / F.when(length != 0, length)
+    return F.when((length == 0) | F.isnan(c), F.lit(float("nan"))).when(c > 1, F.lit(1.0)).when(c < -1, F.lit(-1.0)).otherwise(c)
 
 
 def top_k(df: DataFrame, vector: str, query: DataFrame, query_vector: str, k: int, order: Sequence[str]) -> DataFrame:
@@ -54,7 +57,7 @@ def top_k_any(df: DataFrame, key: str, vector: str, queries: DataFrame, query_ve
     """``key, dist``: the k rows with the least cosine distance to any of the queries."""
     parts = [df.crossJoin(q).select(key, (1 - cosine(F.col(vector), F.col("__q"))).alias("d")) for q in in_blocks(queries.select(F.col(query_vector).alias("__q")), "__q")]
     far = reduce(DataFrame.unionByName, (p.groupBy(key).agg(F.min("d").alias("d")) for p in parts)) if len(parts) > 1 else parts[0]
-    return far.groupBy(key).agg(F.min("d").alias("dist")).orderBy("dist", key).limit(k)
+    return far.groupBy(key).agg(F.min("d").alias("dist")).orderBy(F.col("dist").asc_nulls_last(), key).limit(k)
 
 
 def top_k_uniform(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, rounds: int = 1000) -> DataFrame:
