@@ -77,3 +77,50 @@ def test_menus_are_left_out(spark):
     got = {g.id: (g.n_blocks, g.n_kept, g.text) for g in main_text.main_text(spark.createDataFrame(list(pages.items()), "id long, html string"), "id", "html").collect()}
     text = prose.strip()
     assert got == {1: (6, 3, f"{text}\nshort\n{text}"), 2: (0, 0, ""), 3: (0, 0, ""), 4: (1, 0, ""), 5: (1, 1, f"no tags {text}"), 6: (1, 1, text)}
+
+
+def test_blocks_find_what_brute_force_finds(spark, monkeypatch):
+    """Copies, and vectors that are null, hold a null, have no length or another one; blocks so small that each table has several."""
+    from weftline.operators import search
+
+    monkeypatch.setattr(search, "ROWS", 60)
+    monkeypatch.setattr(search, "QUERIES", 4)
+    r = np.random.default_rng(5)
+    x = [list(map(float, v)) for v in np.concatenate([r.standard_normal((150, 8)), np.tile(r.standard_normal(8), (90, 1))])]
+    x += [None, [1.0, None] + [0.0] * 6, [0.0] * 8, [1.0, 2.0]]
+    rows = spark.createDataFrame(list(enumerate(x)), "id long, v array<double>")
+    asked = rows.where("id % 25 = 3 OR id >= 240")
+    got = vectors.top_k_queries(rows, "id", "v", asked, "id", "v", 6)
+    both = rows.select("id", "v").crossJoin(asked.select(F.col("id").alias("query"), F.col("v").alias("q")))
+    scored = both.select("query", "id", vectors.cosine(F.col("v"), F.col("q")).alias("sim"))
+    want: dict = {}
+    for g in scored.collect():
+        want.setdefault(g.query, []).append((g.sim is None, 0.0 if g.sim is None or g.sim != g.sim else -g.sim, g.sim == g.sim if g.sim is not None else True, g.id))
+    best = {q: [v[-1] for v in sorted(v, key=lambda t: (t[0], t[2], t[1], t[3]))[:6]] for q, v in want.items()}
+    found: dict = {}
+    for g in got.orderBy("query", "rank").collect():
+        found.setdefault(g.query, []).append(g.id)
+    assert found == best
+
+
+def test_searches_make_no_table_of_all_pairs(spark):
+    """Rows and queries meet in tasks that return the best ones; a join of all with all grew to thousands of seconds."""
+    x = np.random.default_rng(6).standard_normal((40, 4))
+    for got in (
+        vectors.top_k_queries(points(spark, x), "id", "v", points(spark, x, "qid"), "qid", "v", 3),
+        vectors.pruned_top_k(points(spark, x), "id", "v", points(spark, x, "qid"), "qid", "v", 3)[0],
+    ):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroups" in plan and "zip_with" not in plan
+
+
+def test_affinity_is_taken_with_the_mean_of_a_group(spark):
+    a = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 0.0]), ("a", [5.0]), ("b", None), (None, [1.0, 1.0])], "g string, q array<double>")
+    c = spark.createDataFrame([(1, 7, [1.0, 1.0]), (2, 7, [2.0]), (3, 8, None)], "id long, doc long, v array<double>")
+    got = vectors.affinity(c, "id", "doc", "v", a, "g", "q")
+    assert {(g.chunk, g.group): g.score for g in got.collect()} == {
+        (1, "a"): 3.0, (2, "a"): 10.0, (3, "a"): None, (1, "b"): None, (2, "b"): None, (3, "b"): None, (1, None): 2.0, (2, None): None, (3, None): None,
+    }
+    copies = a.crossJoin(spark.range(400)).drop("id")
+    rows = vectors.group_means(copies, "g", "q")
+    assert rows.count() == 4  # a chunk meets a group's means, not its anchors

@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import assignment, prompts
+from weftline.operators import assignment, prompts, search
 from weftline.operators.graph import written
 from weftline.operators.order import keep_first
 
@@ -42,8 +42,9 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Between -1 and 1; equal vectors have exactly 1, since the root is taken of the product. NaN for a vector without length."""
     length = F.sqrt(dot(a, a) * dot(b, b))
-    c = dot(a, b) / F.when(length != 0, length)
-    return F.when((length == 0) | F.isnan(c), F.lit(float("nan"))).when(c > 1, F.lit(1.0)).when(c < -1, F.lit(-1.0)).otherwise(c)
+    d = dot(a, b)
+    c = d / F.when(length != 0, length)
+    return F.when(d.isNull() | (F.size(a) == 0), F.lit(None)).when((length == 0) | F.isnan(c), F.lit(float("nan"))).when(c > 1, F.lit(1.0)).when(c < -1, F.lit(-1.0)).otherwise(c)
 
 
 def top_k(df: DataFrame, vector: str, query: DataFrame, query_vector: str, k: int, order: Sequence[str]) -> DataFrame:
@@ -54,10 +55,11 @@ def top_k(df: DataFrame, vector: str, query: DataFrame, query_vector: str, k: in
 
 
 def top_k_any(df: DataFrame, key: str, vector: str, queries: DataFrame, query_vector: str, k: int) -> DataFrame:
-    """``key, dist``: the k rows with the least cosine distance to any of the queries."""
-    parts = [df.crossJoin(q).select(key, (1 - cosine(F.col(vector), F.col("__q"))).alias("d")) for q in in_blocks(queries.select(F.col(query_vector).alias("__q")), "__q")]
-    far = reduce(DataFrame.unionByName, (p.groupBy(key).agg(F.min("d").alias("d")) for p in parts)) if len(parts) > 1 else parts[0]
-    return far.groupBy(key).agg(F.min("d").alias("dist")).orderBy(F.col("dist").asc_nulls_last(), key).limit(k)
+    """``key, dist``: the k rows with the least cosine distance to any of the queries. Each of them is among the k nearest of some query."""
+    numbered = queries.select(F.xxhash64(query_vector).alias("query"), F.col(query_vector).alias("q")).dropDuplicates(["query", "q"])
+    rows, asked = search.dealt(search.keyed(df, key, vector), search.keyed(numbered, "query", "q"))
+    found = search.nearest_within(rows, asked, k, "distance", per_key=True)
+    return found.groupBy(F.col("key").alias(key)).agg(F.min("value").alias("dist")).orderBy(F.col("dist").asc_nulls_last(), key).limit(k)
 
 
 def top_k_uniform(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, rounds: int = 1000) -> DataFrame:
@@ -67,12 +69,9 @@ def top_k_uniform(df: DataFrame, key: str, vector: str, queries: DataFrame, quer
     changes. No query needs more of its list than the rows that all queries take together, at most k."""
     n = queries.count()
     each = k // max(1, n)
-    nearest = [
-        df.crossJoin(q).select("query", key, (1 - cosine(F.col(vector), F.col("__q"))).alias("dist"))
-        for q in in_blocks(queries.select(F.col(query_key).alias("query"), F.col(query_vector).alias("__q")), "query")
-    ]
+    near = search.nearest(df, key, vector, queries, query_key, query_vector, each * n, "distance")
     first = lambda rows, most: rows.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy("dist", key))).where(F.col("__r") <= most).drop("__r")
-    lists = written(reduce(DataFrame.unionByName, (first(p, each * n) for p in nearest)))
+    lists = written(near.select("query", F.col("key").alias(key), F.col("value").alias("dist")))
     held, before = written(lists.limit(0)), None
     for _ in range(rounds):
         holder = held.select(F.col(key).alias("__k"), F.col("query").alias("__holder"))
@@ -96,44 +95,59 @@ def top_k_capped(df: DataFrame, key: str, group: str, vector: str, query: DataFr
 
 def top_k_queries(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
     """``query, key, sim, rank``: the best k rows of each query."""
-    best = []
-    for q in in_blocks(queries.select(F.col(query_key).alias("query"), F.col(query_vector).alias("__q")), "query"):
-        scored = df.crossJoin(q).select("query", key, cosine(F.col(vector), F.col("__q")).alias("sim"))
-        best.append(scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), key))).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, best)
+    best = search.nearest(df, key, vector, queries, query_key, query_vector, k)
+    return best.select("query", F.col("key").alias(key), F.col("value").alias("sim"), "rank")
 
 
 def cells_of(df: DataFrame, key: str, vector: str, n_cells: int = 64) -> DataFrame:
-    """``key, vec, cell, gap``: unit vectors, the nearest of ``n_cells`` rows chosen by hash, and the distance to it. Written once; serves any number of searches."""
-    unit = lambda v: F.transform(v.cast("array<double>"), lambda x: x / F.sqrt(dot(v, v)))
-    rows = df.select(F.col(key), unit(F.col(vector)).alias("vec"))
-    centres = rows.orderBy(F.xxhash64(key), key).limit(n_cells).agg(F.collect_list("vec").alias("__centres"))  # n_cells vectors
+    """``key, v, cell, gap, centre``: the vectors, the nearest of ``n_cells`` rows chosen by hash, and the distance of the two as unit vectors. Vectors without a direction are in
+    cell -1 at no distance. Written once; serves any number of searches."""
+    v = F.col(vector).cast("array<double>")
+    rows = df.select(F.col(key), v.alias("v"), unit(v).alias("vec"))
+    centres = rows.where("vec IS NOT NULL").orderBy(F.xxhash64(key), key).limit(n_cells).agg(F.collect_list("vec").alias("__centres"))  # n_cells vectors
     near = F.array_min(F.transform("__centres", lambda c, i: F.struct((2 - 2 * dot(F.col("vec"), c)).alias("d"), i.alias("i"), c.alias("c"))))
-    return written(rows.crossJoin(F.broadcast(centres)).withColumn("__n", near).select(key, "vec", F.col("__n.i").alias("cell"), F.sqrt(F.greatest(F.lit(0.0), F.col("__n.d"))).alias("gap"), F.col("__n.c").alias("centre")))
+    placed = rows.crossJoin(F.broadcast(centres)).withColumn("__n", F.when(F.col("vec").isNotNull(), near))
+    gap = F.sqrt(F.greatest(F.lit(0.0), F.col("__n.d")))
+    return written(placed.select(key, "v", F.coalesce("__n.i", F.lit(-1)).alias("cell"), F.when(F.col("__n.d").isNotNull(), gap).alias("gap"), F.col("__n.c").alias("centre")))
+
+
+def unit(v: Column) -> Column:
+    """The vector at length 1; null for one without a direction."""
+    length = F.sqrt(dot(v, v))
+    return F.when((length > 0) & (length < float("inf")), F.transform(v, lambda x: x / length))
 
 
 def pruned_top_k(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, n_cells: int = 64) -> tuple[DataFrame, DataFrame]:
     """The rows of ``top_k_queries``, and ``query, cell, n``: the cells each query was scored against, with their rows.
 
     A cell has a centre and a radius, the largest distance of its rows to it. A query takes its nearest cells until they hold ``k`` rows and scores those; the k-th distance then
-    kills each cell whose centre is further away than that distance and the radius together, by the triangle inequality."""
+    kills each cell whose centre is further away than that distance and the radius together, by the triangle inequality. Cells meet their queries in blocks; only the best rows of
+    a block leave it."""
     table = cells_of(df.select(key, vector), key, vector, n_cells)
-    cells = F.broadcast(table.groupBy("cell").agg(F.max("gap").alias("radius"), F.count("*").alias("n"), F.first("centre").alias("centre")))  # n_cells rows
+    cells = written(table.groupBy("cell").agg(F.coalesce(F.max("gap"), F.lit(float("inf"))).alias("radius"), F.count("*").alias("n"), F.first("centre").alias("centre")))  # n_cells rows
     asked = written(queries.select(F.col(query_key).alias("query"), F.col(query_vector).cast("array<double>").alias("q")))
-    unit = F.transform("q", lambda x: x / F.sqrt(dot(F.col("q"), F.col("q"))))
-    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(unit, F.col("centre"))))
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(F.col("u"), F.col("centre"))))
     order = Window.partitionBy("query").orderBy("far", "cell")
     met = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = written(asked.crossJoin(cells).select("query", "cell", "n", "radius", far.alias("far")).withColumn("first", met < k))
-    score = lambda p: p.select("query", "cell").join(asked, "query").join(table.select(key, "vec", "cell"), "cell").select("query", key, dot(F.col("vec"), F.col("q")).alias("s"), dot(F.col("q"), F.col("q")).alias("qq"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), key))
-    best = lambda rows: rows.withColumn("rank", rank).where(F.col("rank") <= k)
-    seen = written(best(score(pairs.where("first")).select("query", key, (F.col("s") / F.sqrt("qq")).alias("sim"))))
-    reach = seen.where(F.col("rank") == k).select("query", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim"))).alias("reach"))
+    far = F.coalesce(apart, F.lit(0.0)).alias("far")
+    pairs = written(asked.withColumn("u", unit(F.col("q"))).crossJoin(F.broadcast(cells)).select("query", "cell", "n", "radius", far).withColumn("first", met < k))
+    rows = F.broadcast(cells.select("cell", F.ceil(F.col("n") / search.ROWS).cast("int").alias("parts")))
+    most = max(1, -(-asked.count() // search.QUERIES))
+    block = F.pmod(F.xxhash64("query"), F.lit(most)).cast("int").alias("c")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    held = table.join(rows, "cell").select("cell", F.pmod(F.xxhash64(key, "v"), F.col("parts")).cast("int").alias("r"), F.col(key).alias("key"), "v", every(F.lit(most)).alias("c"))
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        part = F.struct("cell", "r", "c").alias("part")
+        mine = chosen.select("query", "cell").join(asked, "query").join(rows, "cell").select("cell", every(F.col("parts")).alias("r"), block, F.col("query").alias("key"), F.col("q").alias("v"))
+        return search.nearest_within(held.select(part, "key", "v"), mine.select(part, "key", "v"), k, "cosine")
+
+    seen = written(search.ranked(scored(pairs.where("first")), k, "cosine"))
+    reach = seen.where(F.col("rank") == k).where("NOT isnan(value)").select("query", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("value"))).alias("reach"))
     left = pairs.where("NOT first").join(reach, "query", "left").where(F.col("reach").isNull() | (F.col("far") <= F.col("reach") + F.col("radius") + 1e-7))
-    more = score(left).select("query", key, (F.col("s") / F.sqrt("qq")).alias("sim"))
-    scored = pairs.where("first").select("query", "cell", "n").unionByName(left.select("query", "cell", "n"))
-    return best(seen.drop("rank").unionByName(more)), scored
+    taken = pairs.where("first").select("query", "cell", "n").unionByName(left.select("query", "cell", "n"))
+    best = search.ranked(seen.drop("rank").unionByName(scored(left)), k, "cosine")
+    return best.select("query", F.col("key").alias(key), F.col("value").alias("sim"), "rank"), taken
 
 
 def first_hits(hits: DataFrame, file: str, order: Sequence[str]) -> DataFrame:
@@ -158,15 +172,23 @@ def cluster_by_size(df: DataFrame, vector: str, per_cluster: int, rerolls: int =
     return cluster(df, vector, max(1, df.count() // per_cluster), rerolls, seed)
 
 
+def group_means(anchors: DataFrame, group: str, anchor_vector: str) -> DataFrame:
+    """``group, a, n``: the mean of a group's ``n`` anchors, one for each length they have; null for a group without an anchor free of nulls."""
+    rows = anchors.select(F.col(group).alias("group"), F.col(anchor_vector).cast("array<double>").alias("a"))
+    rows = rows.select("group", F.when(~F.exists("a", lambda x: x.isNull()), F.col("a")).alias("a"))
+    parts = rows.select("group", F.size("a").alias("size"), F.posexplode("a").alias("pos", "x")).groupBy("group", "size", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))  # one vector's components
+    means = parts.groupBy("group", "size").agg(F.transform(ordered, lambda s: s["x"]).alias("a"), F.max("n").alias("n"))
+    bare = rows.groupBy("group").agg(F.max(F.size("a")).alias("size")).where("size IS NULL OR size <= 0")
+    return means.select("group", "a", "n").unionByName(bare.select("group", F.lit(None).cast("array<double>").alias("a"), F.lit(0).cast("long").alias("n")))
+
+
 def affinity(chunks: DataFrame, chunk_key: str, document: str, vector: str, anchors: DataFrame, group: str, anchor_vector: str) -> DataFrame:
-    """``chunk, document, group, score``: mean dot product of each chunk with a group's anchors."""
-    keys, parts = ["chunk", "document", "group"], []
-    for a in in_blocks(anchors.select(F.col(group).alias("group"), F.col(anchor_vector).alias("__a")), "__a"):
-        near = chunks.crossJoin(a).select(F.col(chunk_key).alias("chunk"), F.col(document).alias("document"), "group", dot(F.col(vector), F.col("__a")).alias("d"))
-        parts.append(near.groupBy(*keys).agg(F.sum("d").alias("s"), F.count("d").alias("n")) if parts or anchors.count() > MAX_QUERIES else near.groupBy(*keys).agg(F.avg("d").alias("score")))
-    if len(parts) == 1:
-        return parts[0]
-    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("score"))
+    """``chunk, document, group, score``: mean dot product of each chunk with a group's anchors, taken as the dot product with their mean. Null where no anchor has a chunk's length."""
+    named = chunks.select(F.col(chunk_key).alias("chunk"), F.col(document).alias("document"), F.col(vector).cast("array<double>").alias("__v"))
+    near = [named.crossJoin(m).select("chunk", "document", "group", dot(F.col("__v"), F.col("a")).alias("s"), "n") for m in in_blocks(written(group_means(anchors, group, anchor_vector)), "group")]
+    weight = F.sum(F.when(F.col("s").isNotNull(), F.col("n")))
+    return reduce(DataFrame.unionByName, near).groupBy("chunk", "document", "group").agg((F.sum(F.col("s") * F.col("n")) / F.when(weight > 0, weight)).alias("score"))
 
 
 def anchored_top_k(chunks: DataFrame, chunk_key: str, document: str, vector: str, anchors: DataFrame, group: str, anchor_vector: str, per_chunk: int = 1, per_group: int = 1, per_document: int = 1, epsilon: float = 0.01) -> assignment.Assignment:
