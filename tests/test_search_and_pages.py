@@ -124,3 +124,16 @@ def test_affinity_is_taken_with_the_mean_of_a_group(spark):
     copies = a.crossJoin(spark.range(400)).drop("id")
     rows = vectors.group_means(copies, "g", "q")
     assert rows.count() == 4  # a chunk meets a group's means, not its anchors
+
+
+def test_a_row_is_placed_once_a_vector(spark):
+    """Centres are compared in a task's matrix; as expressions they took a row 64 times 64 steps, and the length of a vector as many."""
+    x = [*map(list, np.random.default_rng(7).standard_normal((50, 4))), [0.0] * 4, None]
+    rows = spark.createDataFrame([(i, None if v is None else [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    from weftline.operators import search
+
+    plan = search.placed(rows, "v", [[1.0, 0.0, 0.0, 0.0]])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "transform" not in plan
+    cells = {g.id: (g.cell, g.gap) for g in vectors.cells_of(rows, "id", "v", 8).collect()}
+    assert len(cells) == 52 and cells[50] == cells[51] == (-1, None) and min(cells[i][0] for i in range(50)) == 0
+    assert all(0 <= cells[i][1] <= 2 for i in range(50))

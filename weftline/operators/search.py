@@ -6,6 +6,8 @@ scores leaves it, only ``k`` rows a query. The work is rows times queries by nat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -151,6 +153,37 @@ def nearest_within(rows: DataFrame, queries: DataFrame, k: int, measure: str, pe
     return rows.groupBy("part").cogroup(queries.groupBy("part")).applyInArrow(run, schema)
 
 
+def has_direction(v: Column) -> Column:
+    """Whether a vector has a length other than 0 and infinity, and no null."""
+    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    return F.coalesce((square > 0) & (square < float("inf")), F.lit(False))
+
+
+def placed(df: DataFrame, vector: str, centres: list[list[float]]) -> DataFrame:
+    """``df`` with ``cell``, the place of the nearest of the unit vectors ``centres``, and ``gap``, the distance of the vector, as a unit vector, to it; -1 and
+    null for vectors without a direction or of another length."""
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
+    width = len(centres[0]) if centres else 0
+    c = np.array([x for x in centres if len(x) == width]).reshape(-1, max(1, width))
+    at = np.array([i for i, x in enumerate(centres) if len(x) == width], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, n = matrix(pa.chunked_array([b.column(vector)]))
+            cell, gap = np.full(len(x), -1, np.int32), np.zeros(len(x))
+            with np.errstate(all="ignore"):
+                xx = summed(x, x)
+            good = np.flatnonzero((n == width) & np.isfinite(xx) & (xx > 0)) if len(c) else np.empty(0, np.int64)
+            if len(good):
+                s = (x[good, :width] / np.sqrt(xx[good])[:, None]) @ c.T
+                near = s.argmax(axis=1)
+                cell[good] = at[near]
+                gap[good] = np.sqrt(np.maximum(0.0, 2 - 2 * s[np.arange(len(good)), near]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(gap, mask=cell < 0)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def dealt(rows: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``part, key, v`` of the ``key, v`` of both, such that each row meets each query in one part of bounded size."""
     n, m = rows.count(), queries.count()

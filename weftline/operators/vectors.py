@@ -102,19 +102,17 @@ def top_k_queries(df: DataFrame, key: str, vector: str, queries: DataFrame, quer
 def cells_of(df: DataFrame, key: str, vector: str, n_cells: int = 64) -> DataFrame:
     """``key, v, cell, gap, centre``: the vectors, the nearest of ``n_cells`` rows chosen by hash, and the distance of the two as unit vectors. Vectors without a direction are in
     cell -1 at no distance. Written once; serves any number of searches."""
-    v = F.col(vector).cast("array<double>")
-    rows = df.select(F.col(key), v.alias("v"), unit(v).alias("vec"))
-    centres = rows.where("vec IS NOT NULL").orderBy(F.xxhash64(key), key).limit(n_cells).agg(F.collect_list("vec").alias("__centres"))  # n_cells vectors
-    near = F.array_min(F.transform("__centres", lambda c, i: F.struct((2 - 2 * dot(F.col("vec"), c)).alias("d"), i.alias("i"), c.alias("c"))))
-    placed = rows.crossJoin(F.broadcast(centres)).withColumn("__n", F.when(F.col("vec").isNotNull(), near))
-    gap = F.sqrt(F.greatest(F.lit(0.0), F.col("__n.d")))
-    return written(placed.select(key, "v", F.coalesce("__n.i", F.lit(-1)).alias("cell"), F.when(F.col("__n.d").isNotNull(), gap).alias("gap"), F.col("__n.c").alias("centre")))
+    rows = df.select(F.col(key), F.col(vector).cast("array<double>").alias("v"))
+    chosen = rows.where(search.has_direction(F.col("v"))).orderBy(F.xxhash64(key), key).limit(n_cells).select(unit(F.col("v")).alias("c"))
+    centres = [r.c for r in chosen.collect()]  # n_cells vectors
+    placed = search.placed(rows, "v", centres)
+    return written(placed.select(key, "v", "cell", "gap", F.get(F.lit(centres) if centres else F.lit(None).cast("array<array<double>>"), F.col("cell")).alias("centre")))
 
 
 def unit(v: Column) -> Column:
     """The vector at length 1; null for one without a direction."""
-    length = F.sqrt(dot(v, v))
-    return F.when((length > 0) & (length < float("inf")), F.transform(v, lambda x: x / length))
+    length = F.array_repeat(F.sqrt(dot(v, v)), F.size(v))  # taken once a vector, not once a component
+    return F.when(search.has_direction(v), F.zip_with(v, length, lambda x, n: x / n))
 
 
 def pruned_top_k(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, n_cells: int = 64) -> tuple[DataFrame, DataFrame]:
