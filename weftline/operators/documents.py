@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftline.functions.text import simplify
 
@@ -197,15 +199,47 @@ def merge_small(rows: Sequence[tuple], least: int) -> list[tuple[int, int | None
     return [x for r in kids.get(None, ()) for x in walk(r)]
 
 
-def parsed_rows(df: DataFrame, key: str, field: str, f, schema: str) -> DataFrame:
-    """Rows that a text function finds in each document, as Arrow batches; ``schema`` is without the key."""
+#: Rows read at once, and characters of found texts handed on at once (more only for a single input).
+READ, HAND_ON = 64, 1 << 20
+
+
+def found_rows(df: DataFrame, key: str, field: str, f: Callable[[str], Iterable[tuple]], schema: str | T.StructType) -> DataFrame:
+    """``key`` and the rows that ``f`` finds in each text, null texts skipped. A worker holds some rows of input and output, however large Spark's batches are; a text that
+    repeats within such a slice is looked at once."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    schema = T.StructType([df.schema[key], *schema.fields])
+    kinds = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, *r) for k, t in zip(b[key], b[field], strict=True) if t is not None for r in f(t)]
-            yield pd.DataFrame(rows, columns=[key, *(x.split()[0] for x in schema.split(","))]) if rows else pd.DataFrame(columns=[key, *(x.split()[0] for x in schema.split(","))])
+            rows, size = [], 0
+            for lo in range(0, b.num_rows, READ):
+                part, known = b.slice(lo, READ), {}
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if t is None:
+                        continue
+                    if t not in known:
+                        known[t] = list(f(t))
+                    for r in known[t]:
+                        rows.append((k, *r))
+                        size += sum(len(x) if isinstance(x, str) else 8 for x in r)
+                        if size > HAND_ON:
+                            yield handed(rows)
+                            rows, size = [], 0
+            if rows:
+                yield handed(rows)
+
+    def handed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(columns, kinds, strict=True)], schema=kinds)
+
+    return df.select(key, field).mapInArrow(run, schema)
 
-    return df.select(key, field).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {schema}")
+
+def parsed_rows(df: DataFrame, key: str, field: str, f, schema: str) -> DataFrame:
+    """Rows that a text function finds in each document; ``schema`` is without the key."""
+    return found_rows(df, key, field, f, schema)
 
 
 def article_cells(text: str) -> list[tuple[str, str, list[str]]]:

@@ -1,20 +1,19 @@
 """Cutting texts into segments.
 
 The foldable segmentations are SQL aggregates over arrays of sentences or lines; the two
-that look both ways over a document run as Arrow batches through ``mapInPandas``.
+that look both ways over a document run on slices of Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.functions.text import strip
+from weftline.operators.documents import found_rows
 
 
 def segments(text: Column, max_chars: int = 1000) -> Column:
@@ -139,14 +138,7 @@ def uniform(text: str, n: int) -> list[str]:
 
 def uniform_rows(df: DataFrame, key: str, field: str, n: int) -> DataFrame:
     """``key, text, chunk_id``: uniform segments, numbered from 1."""
-    schema = T.StructType([df.schema[key], T.StructField("text", T.StringType()), T.StructField("chunk_id", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, x, i) for k, t in zip(b[key], b[field], strict=True) if t is not None for i, x in enumerate(uniform(t, n), 1)]
-            yield pd.DataFrame(rows, columns=[key, "text", "chunk_id"])
-
-    return df.select(key, field).mapInPandas(run, schema)
+    return found_rows(df, key, field, lambda t: [(x, i) for i, x in enumerate(uniform(t, n), 1)], "text string, chunk_id long")
 
 
 LEVELS = ("# ", "## ", "### ", "#### ")
@@ -189,14 +181,8 @@ def headed(text: str, max_chars: int) -> list[dict[str, str]]:
 
 def headed_rows(df: DataFrame, key: str, field: str, max_chars: int = 750) -> DataFrame:
     """``key, h1 .. h4, content, local_index``: sections under their headings."""
-    schema = T.StructType([df.schema[key], *(T.StructField(c, T.StringType()) for c in ("h1", "h2", "h3", "h4", "content")), T.StructField("local_index", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, *s.values(), i) for k, t in zip(b[key], b[field], strict=True) if t is not None for i, s in enumerate(headed(t, max_chars))]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return df.select(key, field).mapInPandas(run, schema)
+    schema = "h1 string, h2 string, h3 string, h4 string, content string, local_index long"
+    return found_rows(df, key, field, lambda t: [(*s.values(), i) for i, s in enumerate(headed(t, max_chars))], schema)
 
 
 PAGE_MARK = re.compile(r"^(?://\s*Page \d+|<!--\s*PAGE.*-->)\s*$", re.IGNORECASE)
