@@ -92,3 +92,18 @@ def test_sections_get_chunks_within_limits(spark):
     got = vectors.section_chunks(bullets, "section", "b", chunks, "chunk", "doc", "v", names, "name", 1, 3, 1).collect()
     assert sorted(g.section for g in got) == ["s0"] * 3 + ["s1"] * 3 and len({g.chunk for g in got}) == 6
     assert {g.document for g in got} == {0, 1, 2} and all(g.reference == ["first", "second", ""][g.document] and g.document == g.chunk % 3 for g in got)
+
+
+def test_scores_of_vectors_are_no_table(spark, monkeypatch):
+    """The pairs and the bound are those of a table of scores, but no table of all pairs is made before the bound is asked for."""
+    r = np.random.default_rng(8)
+    made = [(i, i % 4, [float(x) for x in r.standard_normal(6)] if i % 11 else None) for i in range(60)]
+    chunks = spark.createDataFrame(made, "chunk long, doc int, v array<double>")
+    anchors = spark.createDataFrame([(g, [float(x) for x in r.standard_normal(6)]) for g in range(6)], "g int, q array<double>")
+    plain = assignment.assign(vectors.affinity(chunks, "chunk", "doc", "v", anchors, "g", "q"), 1, 4, 2)
+    whole = assignment.Vectors.all
+    monkeypatch.setattr(assignment.Vectors, "all", property(lambda self: (_ for _ in ()).throw(AssertionError("all pairs"))))
+    got = vectors.anchored_top_k(chunks, "chunk", "doc", "v", anchors, "g", "q", 1, 4, 2)
+    assert {(x.chunk, x["group"]) for x in got.rows.collect()} == {(x.chunk, x["group"]) for x in plain.rows.collect()}
+    monkeypatch.setattr(assignment.Vectors, "all", whole)
+    assert abs(got.gap - plain.gap) < 1e-9

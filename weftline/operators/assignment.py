@@ -13,16 +13,20 @@ Where prices or premiums have far to go, as for chunks that many groups need, st
 
 Prices and premiums are a feasible solution of the dual problem, so its value bounds the optimum: ``Assignment.gap`` is by how much the chosen pairs may miss it, a few ``eps`` a pair at most
 unless steps were doubled.
-Each round is a handful of joins on tables of the size of the choice, written to the shared folder; the whole table of scores is read once for the heads, and where documents or chunks make offers.
+Each round is a handful of joins on tables of the size of the choice, written to the shared folder; scores that come from vectors (``Vectors``)
+are never a table: blocks of chunks and groups give the heads, and only chunks or documents that make offers are scored with every group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import search
 from weftline.operators.graph import written
 
 PAIR = ["group", "chunk", "document", "score"]
@@ -32,12 +36,74 @@ PATIENCE, HEAD = 5, 64
 
 @dataclass
 class Assignment:
-    """``rows`` are ``chunk, group, score``; ``gap`` bounds how far their sum is from the optimum."""
+    """``rows`` are ``chunk, group, score``; ``gap`` bounds how far their sum is from the optimum, and is computed when it is asked for."""
 
     rows: DataFrame
-    gap: float
+    bound: Callable[[], float]
     rounds: int
 
+    @cached_property
+    def gap(self) -> float:
+        return self.bound()
+
+
+class Table:
+    """A written table of scores, ``PAIR`` for every chunk and group."""
+
+    def __init__(self, scores: DataFrame) -> None:
+        self.all = written(scores.select(*(c for c in PAIR if c != "score"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
+        self.groups = written(self.all.select("group").distinct())
+        self.chunks = written(self.all.select("chunk", "document").distinct())
+
+    def of_chunks(self, chunks: DataFrame) -> DataFrame:
+        """The scores of the ``chunk`` in a table."""
+        return self.all.join(chunks.select("chunk"), "chunk", "left_semi")
+
+    def of_documents(self, documents: DataFrame) -> DataFrame:
+        return self.all.join(documents.select("document"), "document", "left_semi")
+
+    def first(self, length: int) -> DataFrame:
+        """``PAIR`` and ``rank`` of the ``length`` best chunks of each group."""
+        return _ranked(self.all, "group", F.desc("score"), F.col("chunk")).where(F.col("rank") <= length)
+
+    def extent(self) -> tuple[float, float]:
+        return tuple(self.all.agg(F.min("score"), F.max("score")).first())
+
+
+class Vectors:
+    """The same scores as dot products of the vectors ``v`` of chunks (``chunk, document, v``) and ``a`` of groups (``group, a``), which no table holds: heads and extent come from
+    blocks of both, and single chunks' or documents' scores are taken when they are asked for. A chunk is in one row, and all vectors have one length."""
+
+    def __init__(self, chunks: DataFrame, groups: DataFrame) -> None:
+        self.rows, self.means = chunks, groups
+        self.groups, self.chunks = groups.select("group"), chunks.select("chunk", "document")
+
+    @property
+    def all(self) -> DataFrame:
+        return self._met(self.rows)
+
+    def _met(self, rows: DataFrame) -> DataFrame:
+        pair = F.aggregate(F.zip_with("v", "a", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return rows.crossJoin(self.means).select("group", "chunk", "document", pair.alias("score"))
+
+    def of_chunks(self, chunks: DataFrame) -> DataFrame:
+        return self._met(written(self.rows.join(chunks.select("chunk"), "chunk", "left_semi")))
+
+    def of_documents(self, documents: DataFrame) -> DataFrame:
+        return self._met(written(self.rows.join(documents.select("document"), "document", "left_semi")))
+
+    def first(self, length: int) -> DataFrame:
+        near = search.nearest(self.rows, "chunk", "v", self.means, "group", "a", length, "dot")
+        found = near.select(F.col("query").alias("group"), F.col("key").alias("chunk"), F.col("value").alias("score"), "rank")
+        return found.join(self.chunks, "chunk").select(*PAIR, "rank")
+
+    def extent(self) -> tuple[float, float]:
+        """Of the best and the worst chunk of each group."""
+        high = search.nearest(self.rows, "chunk", "v", self.means, "group", "a", 1, "dot").agg(F.max("value")).first()[0]
+        away = self.means.select("group", F.transform("a", lambda x: -x).alias("a"))
+        low = search.nearest(self.rows, "chunk", "v", away, "group", "a", 1, "dot").agg(F.max("value")).first()[0]
+        return -low, high
+
 
 def group_quota(n_chunks: int, n_groups: int, per_chunk: int, per_group: int) -> int:
     """Chunks each group gets: as asked, or three quarters of an even share if that is less."""
@@ -52,18 +118,18 @@ def _ranked(rows: DataFrame, by: str, *order: Column, name: str = "rank") -> Dat
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-def _heads(cells: DataFrame, length: int) -> DataFrame:
+def _heads(cells: Table | Vectors, length: int) -> DataFrame:
     """The ``length`` best chunks of each group, and the score below which its list goes on (none if it is whole)."""
-    top = _ranked(cells, "group", F.desc("score"), F.col("chunk")).where(F.col("rank") <= length + 1)
+    top = cells.first(length + 1)
     tail = F.max(F.when(F.col("rank") == length + 1, F.col("score"))).over(Window.partitionBy("group"))
     return written(top.withColumn("tail", tail).where(F.col("rank") <= length).drop("rank"))
 
 
-def _forward(cells: DataFrame, groups: DataFrame, n_chunks: int, n_groups: int, per_chunk: int, quota: int, eps: float, rounds: int) -> tuple[DataFrame, int]:
+def _forward(cells: Table | Vectors, groups: DataFrame, n_chunks: int, n_groups: int, per_chunk: int, quota: int, eps: float, rounds: int) -> tuple[DataFrame, int]:
     """``PAIR`` and ``bid`` of full groups."""
     length = max(HEAD, 2 * quota)
     heads = _heads(cells, length)
-    held = written(cells.limit(0).select(*PAIR, F.lit(0.0).alias("bid")))
+    held = written(heads.limit(0).select(*PAIR, F.lit(0.0).alias("bid")))
     before, least_step = None, eps
     for turn in range(rounds):
         eps = least_step * 2 ** (turn // PATIENCE)
@@ -99,7 +165,7 @@ def _worst(held: DataFrame, price: DataFrame, premium: DataFrame) -> DataFrame:
     return _profit(held, price, premium).groupBy("group").agg(F.min("profit").alias("worst"))
 
 
-def _reverse(cells: DataFrame, documents: DataFrame, held: DataFrame, price: DataFrame, per_chunk: int, quota: int, eps: float, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _reverse(cells: Table | Vectors, documents: DataFrame, held: DataFrame, price: DataFrame, per_chunk: int, quota: int, eps: float, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """``held``, ``price`` and ``premium`` once every document has its ``least`` pairs."""
     premium = written(documents.limit(0).select("document", F.lit(0.0).alias("premium")))
     least_step = eps
@@ -111,7 +177,7 @@ def _reverse(cells: DataFrame, documents: DataFrame, held: DataFrame, price: Dat
         room = (F.lit(per_chunk) - F.coalesce("n", F.lit(0))).alias("room")
         needy = written(price.join(fill, "chunk", "left").select("chunk", "price", room).where("room > 0 AND price > 0"))
         if not needy.isEmpty():
-            open_ = cells.join(needy, "chunk").join(taken, ["group", "chunk"], "left_anti").join(worst, "group").join(premium, "document", "left")
+            open_ = cells.of_chunks(needy).join(needy, "chunk").join(taken, ["group", "chunk"], "left_anti").join(worst, "group").join(premium, "document", "left")
             ranked = _ranked(open_.withColumn("beta", F.col("score") + _zero("premium") - F.col("worst")), "chunk", F.desc("beta"), F.col("group")).where(F.col("rank") <= F.col("room") + 1)
             rival = F.max(F.when(F.col("rank") == F.col("room") + 1, F.col("beta"))).over(Window.partitionBy("chunk"))
             low = F.greatest(F.lit(0.0), F.least(F.col("price"), F.coalesce(rival - eps, F.lit(0.0))))
@@ -125,7 +191,7 @@ def _reverse(cells: DataFrame, documents: DataFrame, held: DataFrame, price: Dat
             short = written(short.join(premium, "document", "left").select("document", "short", _zero("premium").alias("old")))
             if short.isEmpty():
                 return held, price, premium, turn
-            open_ = cells.join(short, "document").join(taken, ["group", "chunk"], "left_anti").join(fill, "chunk", "left").withColumn("room", room).where("room > 0").join(worst, "group")
+            open_ = cells.of_documents(short).join(short, "document").join(taken, ["group", "chunk"], "left_anti").join(fill, "chunk", "left").withColumn("room", room).where("room > 0").join(worst, "group")
             ranked = _ranked(open_.withColumn("beta", F.col("score") - F.col("worst")), "chunk", F.desc("beta"), F.col("group"), name="place").where(F.col("place") <= F.col("room") + 1)
             inside = _ranked(ranked.where(F.col("place") <= F.col("room")), "document", F.desc("beta"), F.col("chunk"), F.col("group")).where(F.col("rank") <= F.col("short") + 1)
             rival = F.coalesce(F.max(F.when(F.col("rank") == F.col("short") + 1, F.col("beta"))).over(Window.partitionBy("document")), F.min("beta").over(Window.partitionBy("document")))
@@ -152,31 +218,30 @@ def _bound(cells: DataFrame, documents: DataFrame, held: DataFrame, price: DataF
     return quota * groups + per_chunk * chunks - least + more
 
 
-def assign(scores: DataFrame, per_chunk: int = 1, per_group: int = 1, per_document: int = 1, epsilon: float = 0.01, rounds: int = 400) -> Assignment:
+def assign(scores: DataFrame | Vectors, per_chunk: int = 1, per_group: int = 1, per_document: int = 1, epsilon: float = 0.01, rounds: int = 400) -> Assignment:
     """Chosen pairs of ``scores``, which has ``chunk, document, group, score`` for every chunk and group. ``epsilon`` is a share of the spread of the scores; the sum is within some ``epsilon * spread`` a
     pair of the optimum. A group gets ``group_quota`` chunks; a document gets ``per_document`` pairs, or all it can give. Null scores count as 0.
 
     Raises ValueError if that can't be met. An empty table gives an empty result."""
-    cells = written(scores.select(*(c for c in PAIR if c != "score"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
-    groups = written(cells.select("group").distinct())
-    chunks = written(cells.select("chunk", "document").distinct())
+    cells = scores if isinstance(scores, Vectors) else Table(scores)
+    groups, chunks = cells.groups, cells.chunks
     n_groups, n_chunks = groups.count(), chunks.count()
-    if not n_chunks:
-        return Assignment(cells.select("chunk", "group", "score"), 0.0, 0)
+    if not n_chunks or not n_groups:
+        return Assignment(cells.all.limit(0).select("chunk", "group", "score"), lambda: 0.0, 0)
     per_chunk = min(per_chunk, n_groups)
     quota = group_quota(n_chunks, n_groups, per_chunk, per_group)
     documents = written(chunks.groupBy("document").agg(F.least(F.lit(per_document), F.count("*") * per_chunk).alias("least")))
     if documents.agg(F.sum("least")).first()[0] > quota * n_groups:
         raise ValueError("no assignment meets the constraints")
     if not quota:
-        return Assignment(cells.limit(0).select("chunk", "group", "score"), 0.0, 0)
-    low, high = cells.agg(F.min("score"), F.max("score")).first()
+        return Assignment(cells.all.limit(0).select("chunk", "group", "score"), lambda: 0.0, 0)
+    low, high = cells.extent()
     eps = epsilon * ((high - low) or 1.0)
     held, turns = _forward(cells, groups, n_chunks, n_groups, per_chunk, quota, eps, rounds)
     price = held.groupBy("chunk").agg(F.min("bid").alias("price"), F.count("*").alias("n")).where(F.col("n") >= per_chunk).select("chunk", "price").where("price > 0")
     held, price, premium, more = _reverse(cells, documents, held.select(*PAIR), written(price), per_chunk, quota, eps * 2 ** ((turns - 1) // PATIENCE), rounds)
-    got = held.agg(F.sum("score")).first()[0]
-    return Assignment(held.select("chunk", "group", "score"), _bound(cells, documents, held, price, premium, per_chunk, quota) - got, turns + more)
+    bound = lambda: _bound(cells.all, documents, held, price, premium, per_chunk, quota) - held.agg(F.sum("score")).first()[0]
+    return Assignment(held.select("chunk", "group", "score"), bound, turns + more)
 
 
 def strongest(pairs: DataFrame, most: int) -> DataFrame:

@@ -191,7 +191,18 @@ def affinity(chunks: DataFrame, chunk_key: str, document: str, vector: str, anch
 
 def anchored_top_k(chunks: DataFrame, chunk_key: str, document: str, vector: str, anchors: DataFrame, group: str, anchor_vector: str, per_chunk: int = 1, per_group: int = 1, per_document: int = 1, epsilon: float = 0.01) -> assignment.Assignment:
     """``chunk, group, score``: chunks assigned to anchored groups within the limits, the sum of scores within ``gap`` of the optimum."""
-    return assignment.assign(affinity(chunks, chunk_key, document, vector, anchors, group, anchor_vector), per_chunk, per_group, per_document, epsilon)
+    means = written(group_means(anchors, group, anchor_vector))
+    rows = written(chunks.select(F.col(chunk_key).alias("chunk"), F.col(document).alias("document"), F.col(vector).cast("array<double>").alias("v")))
+    lengths = means.agg(F.max(F.size("a")), F.min(F.when(F.col("n") > 0, F.size("a"))), F.count("*"), F.countDistinct("group"), F.count("group")).first()
+    once = rows.groupBy("chunk").count().where("count > 1 OR chunk IS NULL").isEmpty()
+    if lengths[0] is None or lengths[0] < 1 or lengths[0] != lengths[1] or not lengths[2] == lengths[3] == lengths[4] or not once:
+        scores = affinity(chunks, chunk_key, document, vector, anchors, group, anchor_vector)  # several lengths or rows: a table of scores
+    else:
+        # a score that is null counts as 0, as with a vector of zeros
+        none = F.array_repeat(F.lit(0.0), lengths[0])
+        whole = lambda c: F.when((F.size(c) == lengths[0]) & ~F.exists(c, lambda x: x.isNull()), F.col(c)).otherwise(none)
+        scores = assignment.Vectors(written(rows.withColumn("v", whole("v"))), written(means.select("group", whole("a").alias("a"))))
+    return assignment.assign(scores, per_chunk, per_group, per_document, epsilon)
 
 
 def bullet_assignments(bullets: DataFrame, bullet: str, bullet_vector: str, chunks: DataFrame, chunk: str, vector: str, text: str, k: int) -> DataFrame:
