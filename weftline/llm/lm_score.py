@@ -9,16 +9,18 @@ others, whose share is dealt by their corpus counts. It is one causal attention
 with a relative position bias, a ReLU layer and a two-level softmax (32 classes of 32
 ids, binned by frequency), its biases set from the corpus counts.
 
-It is trained in numpy on a fixed share of every training document, one block in ``SHARE`` and at least one, so
-what it learns from grows with the corpus. The blocks are dealt to tasks of at most some ``TASK_BLOCKS``. In each of
-``ROUNDS`` rounds every task takes the common weights through its part of the blocks with Adam, batch by batch as they stream by, and
-the weights are averaged by blocks, first in ``TREE`` groups. Small corpora repeat their blocks until a task has made ``steps`` steps or ``PASSES`` passes in a round.
+It is trained in numpy on every block of every training document. The first pass writes the documents' subwords, and
+stretches of them are dealt to tasks of some ``TASK_BLOCKS`` blocks. In each of ``ROUNDS`` rounds every task takes the common weights through its
+part of a third of the stretches with Adam, batch by batch as they stream by, and the weights are averaged by blocks, first in ``TREE`` groups.
+Small corpora repeat their blocks until a task has made ``steps`` steps or ``PASSES`` passes in a round. A caller may ask for one block in ``share`` only.
 
 A text is cut into blocks of ``BLOCK`` targets. The window of a block is the block and the one before
 it, so windows overlap by half, each subword is scored once, and each sees ``BLOCK`` subwords
 before it or more. Blocks of many documents go through one batched masked attention. ``score`` is the sum of the log10 probabilities
 of a text's subwords and its end mark.
 
+Both passes cut a text into words once and encode each word once in a task (``Words``).
+
 Base: frequent words (``HEAD_WORDS`` at most) are looked up in the task, all others joined
 with the counts by a 64-bit hash of the word.
 
@@ -32,7 +34,6 @@ result. Texts of any length are read whole. Other columns are not read.
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -49,14 +50,17 @@ BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END, N_BPE = 50_256, 50_257
 SIDE = 32
 N_IDS = SIDE * SIDE
+NONE = 0xFFFF
 OTHER = N_IDS - 1
 BLOCK, DIM, HIDDEN = 8, 16, 32
-SHARE, TASK_BLOCKS, ROUNDS, TREE, PASSES = 32, 40_000, 3, 8, 25
-STEPS, BATCH, RATE = 300, 256, 1e-2
+#: Blocks of a text that the model learns from: one in SHARE, all of them. STRETCH: blocks in a row of the table it reads.
+SHARE, STRETCH, TASK_BLOCKS, ROUNDS, TREE, PASSES = 1, 1024, 400_000, 3, 8, 25
+STEPS, BATCH, RATE = 300, 512, 1e-2
 HEAD_WORDS, CACHED = 100_000, 400_000
 END_WORD = 1  # its place among the word hashes
 ROWS = 1024  # blocks in one pass
-GROUP = 40_000  # words of texts that are scored together
+GROUP = 40_000  # words of texts that are taken together
+READ = 256  # stretches that are mixed
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,53 +80,117 @@ def encoder(path: str = BPE):
     return tiktoken.Encoding("words", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={})
 
 
-def subwords(encode, words: list[bytes]) -> np.ndarray:
-    return encode.encode_to_numpy((b" " + b" ".join(words)).decode("utf-8", "surrogatepass")).astype(np.int32) if words else np.empty(0, np.int32)
+class Words(dict):
+    """Word to its place in the arrays ``hash``, ``start`` and ``size``, the last two of its subwords in ``subs``. Each word is encoded once. Forgets all when full."""
 
+    def __init__(self, encode) -> None:
+        self.encode, self.new = encode, []
+        self.opens = np.zeros(N_BPE, bool)  # the first subword of a word has the space
+        self.opens[[i for i in range(encode.n_vocab) if encode.decode_single_token_bytes(i)[:1] == b" "]] = True
+        self.clear()
 
-def sampled(seq: np.ndarray, text: str | None, share: int) -> list[bytes]:
-    """Windows of one block in ``share`` of a text's subwords, by a hash of the text and the block's number, and of one block at least."""
-    rows = len(seq) // BLOCK + 1
-    mark = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))
-    order = (np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(mark)) >> np.uint64(33)
-    chosen = np.flatnonzero(order % np.uint64(share) == 0)
-    none = np.full(BLOCK, -1, np.int32)
-    fed = np.concatenate([none, [END], seq, none]).astype(np.int32)  # subword i is fed behind it, at BLOCK + i + 1
-    out = []
-    for k in chosen.tolist() if len(chosen) else [int(order.argmin())]:
-        lo = k * BLOCK
-        want = np.full(BLOCK, -1, np.int32)
-        own = np.append(seq[lo : lo + BLOCK], END)[: min(BLOCK, len(seq) + 1 - lo)]
-        want[: len(own)] = own
-        window = fed[lo : lo + 2 * BLOCK].copy()
-        window[BLOCK + len(own) :] = -1
-        out.append(np.concatenate([window, want]).tobytes())
-    return out
+    def __missing__(self, w: bytes) -> int:
+        self[w] = i = len(self)
+        self.new.append(w)
+        return i
+
+    def clear(self) -> None:
+        super().clear()
+        self.hash, self.start, self.size, self.subs, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16), 0
+
+    def places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' places and the texts' numbers of words."""
+        sizes = np.array(list(map(len, texts)), np.int64)
+        places = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        if self.new:
+            raw = self.encode.encode_to_numpy((b" " + b" ".join(self.new)).decode("utf-8", "surrogatepass"))
+            first = np.flatnonzero(self.opens[raw])
+            self.add(np.fromiter(map(hash_of, self.new), np.int64, len(self.new)), first + self.used, np.diff(np.r_[first, len(raw)]), raw)
+            self.new = []
+        return places, sizes
+
+    def add(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray) -> None:
+        old, n = len(self) - len(hashes), len(self)
+        if n > len(self.hash):
+            self.hash, self.start, self.size = (np.resize(x, 2 * n) for x in (self.hash, self.start, self.size))
+        self.hash[old:n], self.start[old:n], self.size[old:n] = hashes, start, size
+        if self.used + len(raw) > len(self.subs):
+            self.subs = np.resize(self.subs, 2 * (self.used + len(raw)))
+        self.subs[self.used : self.used + len(raw)] = raw
+        self.used += len(raw)
+
+    def subwords(self, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' subwords on end, and how many each has."""
+        n = self.size[places]
+        raw = self.subs[np.repeat(self.start[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return raw, by_text(n, sizes).astype(np.int64)
+
+
+def groups_of(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of a column's texts, one long text or many short ones at a time, and the first one's place."""
+    texts, first, size = [], 0, 0
+    for i, t in enumerate(column.to_pylist()):
+        texts.append(words_of(t))
+        size += len(texts[-1])
+        if size > GROUP or i == len(column) - 1:
+            yield first, texts
+            texts, first, size = [], i + 1, 0
+
+
+def stretches(raw: np.ndarray, sizes: np.ndarray, share: int) -> list[bytes]:
+    """The texts' blocks as ``windows_of`` reads them, up to ``STRETCH`` in a row: an empty block, then end mark, subwords and end mark. If not all are asked for, single
+    blocks, one at least of a text."""
+    blocks = sizes // BLOCK + 1
+    room = (blocks + 1) * BLOCK + 1
+    start = np.cumsum(room) - room
+    fed = np.full(room.sum(), NONE, np.uint16)
+    fed[start + BLOCK] = END
+    fed[np.repeat(start + BLOCK + 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(raw))] = raw
+    fed[start + BLOCK + 1 + sizes] = END
+    most, step = (STRETCH, STRETCH) if share == 1 else (1, share)
+    first = lambda i, n: 0 if share == 1 else i % min(share, n)
+    return [fed[a + k * BLOCK : a + (min(n, k + most) + 1) * BLOCK + 1].tobytes() for i, (a, n) in enumerate(zip(start.tolist(), blocks.tolist(), strict=True)) for k in range(first(i, n), n, step)]
+
+
+def windows_of(stretch: bytes) -> np.ndarray:
+    """Each block's window of 2 BLOCK inputs, then its BLOCK targets; -1 for none. What is fed behind the last target is seen by no query that has one."""
+    fed = np.frombuffer(stretch, np.uint16).astype(np.int32)
+    fed[fed == NONE] = -1
+    rows = np.lib.stride_tricks.sliding_window_view(fed, 2 * BLOCK + 1)[::BLOCK]
+    return np.concatenate([rows[:, :-1], rows[:, BLOCK + 1 :]], 1)
 
 
 def _count(path: str, share: int) -> Callable:
-    """One pass over the training texts: words by hash (kind 0), subwords (1) and windows to learn from (2, the key numbers them)."""
+    """One pass over the training texts: words by hash (kind 0), subwords (1) and the texts' stretches of subwords to learn from (2, the key numbers them)."""
+
+    def table(kind: int, keys: np.ndarray, n: np.ndarray, blocks: list[bytes] | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(blocks or [None] * len(keys), pa.binary())], ["kind", "key", "n", "block"])
+
+    def counted(words: Words, n: np.ndarray, texts: int) -> Iterator[pa.RecordBatch]:
+        n = n[: len(words)]
+        yield table(0, np.r_[words.hash[: len(words)], END_WORD], np.r_[n, texts])
+        subs = np.bincount(words.subs[: words.used], np.repeat(n, words.size[: len(words)]).astype(np.float64), N_BPE)
+        subs[END] += texts
+        yield table(1, np.flatnonzero(subs), subs[subs > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, no = encoder(path), TaskContext.get().partitionId() << 40
+        words, no, n, texts = Words(encoder(path)), TaskContext.get().partitionId() << 40, np.zeros(CACHED, np.int64), 0
         for b in batches:
-            words: Counter = Counter()
-            seqs, blocks = [np.empty(0, np.int32)], []
-            for t in b.column(0).to_pylist():
-                own = words_of(t)
-                words.update(own)
-                seq = subwords(encode, own)
-                seqs.append(seq)
-                blocks += sampled(seq, t, share)
-            subs = np.bincount(np.concatenate(seqs), minlength=N_BPE)
-            subs[END] = b.num_rows
-            seen = np.flatnonzero(subs)
-            kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(words) + 1, len(seen), len(blocks)])
-            key = np.concatenate([np.fromiter(map(hash_of, words), np.int64, len(words)), [END_WORD], seen, no + np.arange(len(blocks))])
-            n = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), [b.num_rows], subs[seen], np.zeros(len(blocks), np.int64)])
-            block = pa.array([None] * (len(words) + 1 + len(seen)) + blocks, pa.binary())
-            no += len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(key.astype(np.int64)), pa.array(n), block], ["kind", "key", "n", "block"])
+            for _, own in groups_of(b.column(0)):
+                places, sizes = words.places(own)
+                if len(words) > len(n):
+                    n = np.r_[n, np.zeros(len(words), np.int64)]
+                n[: len(words)] += np.bincount(places, minlength=len(words))
+                texts += len(own)
+                blocks = stretches(*words.subwords(places, sizes), share)
+                yield table(2, no + np.arange(len(blocks)), np.zeros(len(blocks)), blocks)
+                no += len(blocks)
+                if len(words) > CACHED:
+                    yield from counted(words, n, texts)
+                    words.clear()
+                    n[:], texts = 0, 0
+        if texts:
+            yield from counted(words, n, texts)
 
     return run
 
@@ -189,37 +257,6 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w as one flat product; numpy would do one for each row of blocks."""
-    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
-
-
-def attend(p: dict, x: np.ndarray, keys: np.ndarray, values: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
-    """x: the block's inputs (b, BLOCK, d); keys, values: its window's (b, 2 BLOCK, d); held: which of the window is text."""
-    q = times(x, p["Wq"])
-    s = q @ keys.transpose(0, 2, 1)
-    s *= np.float32(1 / np.sqrt(DIM))
-    s += p["R"] + FUTURE
-    if not held.all():
-        s += np.where(held, np.float32(0), np.float32(-1e9))[:, None, :]
-    a = softmax(s)
-    av = a @ values
-    h = x + times(av, p["Wo"])
-    m = times(h, p["W1"])
-    m += p["b1"]
-    np.maximum(m, 0, out=m)
-    return q, a, av, h, m, h + times(m, p["W2"])
-
-
-def by_class(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    of = (y // SIDE).astype(np.int16)
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(SIDE + 1))
-    for c in range(SIDE):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c] : cuts[c + 1]]
-
-
 def log_probs(p: dict, g: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each target, in two levels; the rows go class by class."""
     order = np.argsort((y // SIDE).astype(np.int16), kind="stable")
@@ -243,44 +280,82 @@ def log_probs(p: dict, g: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(p: dict, windows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss and its gradients. windows: ids (b, 2 BLOCK), -1 for none; targets: ids (b, BLOCK), -1 for none."""
-    held, real = windows >= 0, targets.ravel() >= 0
-    w = np.where(held, windows, 0)
-    x = p["E"][w]
-    keys, values, new = times(x, p["Wk"]), times(x, p["Wv"]), x[:, BLOCK:]
-    q, a, av, h, m, g = attend(p, new, keys, values, held)
-    flat, y = g.reshape(-1, DIM)[real], targets.ravel()[real].astype(np.int64)
-    n = max(1, len(y))
-    loss = -float(log_probs(p, flat, y).sum()) / n
+def summed(rows: np.ndarray) -> np.ndarray:
+    """The rows' sum, as a product: that is faster."""
+    return np.ones(len(rows), rows.dtype) @ rows
+
+
+def by_id(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each id."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    out = np.zeros((N_IDS, rows.shape[1]), rows.dtype)
+    out[ids[head]] = np.add.reduceat(rows.take(order, 0), head, 0)
+    return out
+
+
+def gradients(p: dict, windows: np.ndarray, targets: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss (0 if it is not asked for) and its gradients. windows: ids (b, 2 BLOCK), -1 for none; targets: ids (b, BLOCK), -1 for none.
+
+    Queries, keys and values are looked up per id; what stands behind the attention is done for the real targets only, in the order of their classes.
+    """
+    e = p["E"]
+    number = e.dtype.type
+    held, scale = windows >= 0, number(1 / np.sqrt(DIM))
+    w = np.where(held, windows, 0).astype(np.int16)
+    new = np.ascontiguousarray(w[:, BLOCK:])
+    k, v, q = (e @ p["Wk"]).take(w, 0), (e @ p["Wv"]).take(w, 0), (e @ p["Wq"] * scale).take(new, 0)
+    a = q @ k.transpose(0, 2, 1)
+    a += (p["R"] + FUTURE).astype(e.dtype)
+    if not held.all():
+        a += np.where(held, number(0), number(-1e9))[:, None, :]
+    a = softmax(a)
+    av = (a @ v).reshape(-1, DIM)
+    y = targets.ravel()
+    at = np.flatnonzero(y >= 0)
+    at = at[np.argsort((y[at] // SIDE).astype(np.int16), kind="stable")]
+    y = y[at].astype(np.int64)
+    n, of, line, cuts = max(1, len(y)), y // SIDE, np.arange(len(y)) * SIDE, np.searchsorted(y // SIDE, np.arange(SIDE + 1))
+    own = av.take(at, 0)
+    h = e.take(new.ravel().take(at), 0) + own @ p["Wo"]
+    m = h @ p["W1"]
+    m += p["b1"]
+    np.maximum(m, 0, out=m)
+    g = h + m @ p["W2"]
+    loss = -float(log_probs(p, g, y).sum()) / n if with_loss else 0.0
     d: dict[str, np.ndarray] = {"W": np.zeros_like(p["W"]), "bl": np.zeros_like(p["bl"])}
-    z = softmax(flat @ p["U"] + p["bu"])
-    z[np.arange(len(y)), y // SIDE] -= 1
-    z /= n
-    d["U"], d["bu"], dflat = flat.T @ z, z.sum(0), z @ p["U"].T
-    for c, rows in by_class(y):
-        z = softmax(flat[rows] @ p["W"][c] + p["bl"][c])
-        z[np.arange(len(rows)), y[rows] % SIDE] -= 1
-        z /= n
-        d["W"][c], d["bl"][c] = flat[rows].T @ z, z.sum(0)
-        dflat[rows] += z @ p["W"][c].T
-    dg = np.zeros((g.size // DIM, DIM), np.float32)
-    dg[real] = dflat
-    dm = (dg @ p["W2"].T) * (m.reshape(-1, HIDDEN) > 0)
-    d["W2"], d["W1"], d["b1"] = m.reshape(-1, HIDDEN).T @ dg, h.reshape(-1, DIM).T @ dm, dm.sum(0)
+    z = softmax(g @ p["U"] + p["bu"])
+    z.ravel()[line + of] -= 1
+    z *= number(1 / n)
+    d["U"], d["bu"], dg = g.T @ z, summed(z), z @ p["U"].T
+    classes = [(c, slice(cuts[c], cuts[c + 1])) for c in range(SIDE) if cuts[c] < cuts[c + 1]]
+    for c, rows in classes:
+        np.matmul(g[rows], p["W"][c], out=z[rows])
+        z[rows] += p["bl"][c]
+    z = softmax(z)
+    z.ravel()[line + y % SIDE] -= 1
+    z *= number(1 / n)
+    for c, rows in classes:
+        d["W"][c], d["bl"][c] = g[rows].T @ z[rows], summed(z[rows])
+        dg[rows] += z[rows] @ p["W"][c].T
+    dm = dg @ p["W2"].T
+    dm *= m > 0
+    d["W2"], d["W1"], d["b1"] = m.T @ dg, h.T @ dm, summed(dm)
     dh = dg + dm @ p["W1"].T
-    d["Wo"] = av.reshape(-1, DIM).T @ dh
-    dav = (dh @ p["Wo"].T).reshape(av.shape)
-    da, dv = dav @ values.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dav
-    ds = a * (da - (a * da).sum(-1, keepdims=True))
+    d["Wo"] = own.T @ dh
+    dav, dx = np.zeros_like(av), np.zeros_like(av)
+    dav[at], dx[at] = dh @ p["Wo"].T, dh
+    ds = dav.reshape(-1, BLOCK, DIM) @ v.transpose(0, 2, 1)
+    ds -= (dav * av).sum(1).reshape(-1, BLOCK, 1)
+    ds *= a
     d["R"] = ds.sum(0)
-    ds /= np.float32(np.sqrt(DIM))
-    dq, dk = ds @ keys, ds.transpose(0, 2, 1) @ q
-    d["Wq"], d["Wk"], d["Wv"] = (i.reshape(-1, DIM).T @ o.reshape(-1, DIM) for i, o in ((new, dq), (x, dk), (x, dv)))
-    dx = dk @ p["Wk"].T + dv @ p["Wv"].T
-    dx[:, BLOCK:] += dq @ p["Wq"].T + dh.reshape(new.shape)
-    d["E"] = np.zeros_like(p["E"])
-    np.add.at(d["E"], w[held], dx[held])
+    dk, dv, dq = ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dav.reshape(-1, BLOCK, DIM), ds @ k
+    seen = by_id(w.ravel(), np.concatenate([dk, dv], 2).reshape(-1, 2 * DIM))
+    asked = by_id(new.ravel(), np.concatenate([dq.reshape(-1, DIM), dx], 1))
+    dk, dv, dq = seen[:, :DIM], seen[:, DIM:], asked[:, :DIM] * scale
+    d["Wk"], d["Wv"], d["Wq"] = e.T @ dk, e.T @ dv, e.T @ dq
+    d["E"] = asked[:, DIM:] + dk @ p["Wk"].T + dv @ p["Wv"].T + dq @ p["Wq"].T
     return loss, d
 
 
@@ -291,7 +366,7 @@ class Adam:
 
     def take(self, rows: np.ndarray) -> None:
         """One step on windows of 3 BLOCK numbers each: the window's inputs, then its targets."""
-        _, d = gradients(self.p, rows[:, : 2 * BLOCK], rows[:, 2 * BLOCK :])
+        _, d = gradients(self.p, rows[:, : 2 * BLOCK], rows[:, 2 * BLOCK :], False)
         self.step += 1
         rate = self.rate * min(1, self.step / 30) * max(0.1, 1 - self.step / (self.total + 1)) ** 0.5
         for k, v in d.items():
@@ -304,16 +379,18 @@ def train(p: dict[str, np.ndarray], batches: Iterator[np.ndarray], steps: int, r
     """The weights after the batches of windows have passed, and the number of windows. A bounded part of the windows is kept and repeated up to ``steps`` steps, or up to
     ``passes`` passes if that is less."""
     opt, r, rest, n = Adam(p, rate, max(total, steps)), np.random.default_rng(seed), np.empty((0, 3 * BLOCK), np.int16), 0
-    seen = rest
+    first: list[np.ndarray] = []
     for rows in batches:
         n += len(rows)
         rest = np.concatenate([rest, rows[r.permutation(len(rows))]])
-        while len(rest) >= BATCH:
-            opt.take(rest[:BATCH])
-            if len(seen) < steps * BATCH:
-                seen = np.concatenate([seen, rest[:BATCH]])
-            rest = rest[BATCH:]
-    seen = np.concatenate([seen, rest])
+        for lo in range(0, len(rest) - BATCH + 1, BATCH):
+            opt.take(rest[lo : lo + BATCH])
+            if len(first) < steps:
+                first.append(rest[lo : lo + BATCH].copy())
+        rest = rest[len(rest) // BATCH * BATCH :]
+    if len(rest):
+        opt.take(rest)
+    seen = np.concatenate([*first, rest])
     while len(seen) and opt.step < (steps if passes is None else min(steps, passes * n / BATCH)):
         opt.take(seen[r.integers(0, len(seen), BATCH)])
     return p, n
@@ -335,7 +412,8 @@ def _trained(p: dict[str, np.ndarray], ids: Ids, steps: int, rate: float, total:
     """The task's weights, times its number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = (ids.of(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32)).reshape(-1, 3 * BLOCK) for b in batches if b.num_rows)
+        parts = (b.slice(lo, READ) for b in batches for lo in range(0, b.num_rows, READ))
+        windows = (ids.of(np.concatenate([windows_of(x) for x in b.column(0).to_pylist()])) for b in parts)
         own, n = train({k: v.copy() for k, v in p.items()}, windows, steps, rate, total, PASSES)
         if n:
             part = TaskContext.get().partitionId()
@@ -351,9 +429,10 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def averaged(blocks: DataFrame, ids: Ids, steps: int) -> dict[str, np.ndarray]:
-    """Rounds of local training and weighted averages over the kept table ``key, block``. The blocks are dealt by number, so that equal ones spread."""
-    p, n = fresh(ids.n), blocks.count()
-    if not n:
+    """Rounds of local training and weighted averages over the kept table ``key, block`` of stretches. They are dealt by number, so that equal ones spread."""
+    p = fresh(ids.n)
+    rows, n = blocks.agg(F.count("*"), F.sum(F.expr(f"(length(block) - 2) DIV {2 * BLOCK} - 1"))).first()
+    if not rows:
         return p
     tasks = max(1, min(-(-n // (ROUNDS * TASK_BLOCKS)), 2048))
     for k in range(ROUNDS):
@@ -361,8 +440,9 @@ def averaged(blocks: DataFrame, ids: Ids, steps: int) -> dict[str, np.ndarray]:
         mine = mine.repartition(tasks, F.xxhash64("key", F.lit(k))).sortWithinPartitions(F.xxhash64("key"), "key").select("block")
         local = mine.mapInArrow(_trained(p, ids, steps, RATE / 2**k, n // (ROUNDS * tasks * BATCH)), "grp int, part int, n long, w binary")
         got = local.groupBy("grp").applyInArrow(_summed, "grp int, n long, w binary").collect()  # at most TREE rows
-        got.sort(key=lambda r: r["grp"])
-        p = unpacked(np.sum([np.frombuffer(r["w"], np.float64) for r in got], 0) / sum(r["n"] for r in got), p)
+        if got:  # a few long texts may leave a round without any
+            got.sort(key=lambda r: r["grp"])
+            p = unpacked(np.sum([np.frombuffer(r["w"], np.float64) for r in got], 0) / sum(r["n"] for r in got), p)
     return p
 
 
@@ -381,7 +461,7 @@ def layout(ids: np.ndarray, sizes: np.ndarray, end: int, kind: type = np.int16)
 def score_rows(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each target, in order; row 0 and the empty rows only give context.
 
-    The same attention as ``attend``, with queries, keys and values looked up per id and the two halves of a window multiplied apart.
+    The same attention as in ``gradients``, with queries, keys and values looked up per id and the two halves of a window multiplied apart.
     """
     keys, values, queries, bias = p["E"] @ p["Wk"], p["E"] @ p["Wv"], (p["E"] @ p["Wq"]) / np.sqrt(DIM).astype(p["E"].dtype), p["R"] + FUTURE
     out = []
@@ -416,21 +496,25 @@ def score_rows(p: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-class Known(dict):
-    """Word to its place in the arrays ``hash`` and ``term`` (base term, nan for a word that is looked up by the join). Forgets all when full."""
+class Known(Words):
+    """Words with their base term (nan for one that is looked up by the join), their subwords as model ids, and the log10 shares of those that have none of their own."""
 
-    def __init__(self, head: dict[int, int], term: Callable[[int], float]) -> None:
-        self.head, self.term_of = head, term
-        self.hash, self.term = np.empty(CACHED, np.int64), np.empty(CACHED)
+    def __init__(self, encode, ids: Ids, keys: np.ndarray, terms: np.ndarray) -> None:
+        self.ids, self.keys, self.terms = ids, keys, terms
+        super().__init__(encode)
 
-    def __missing__(self, w: bytes) -> int:
-        i, h = len(self), hash_of(w)
-        if i == len(self.hash):
-            self.hash, self.term = np.resize(self.hash, 2 * i), np.resize(self.term, 2 * i)
-        n = self.head.get(h)
-        self.hash[i], self.term[i] = h, np.nan if n is None else self.term_of(n)
-        self[w] = i
-        return i
+    def clear(self) -> None:
+        super().clear()
+        self.term, self.more, self.subs = np.empty(0), np.empty(0), np.empty(0, np.int16)
+
+    def add(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray) -> None:
+        super().add(hashes, start, size, self.ids.table.take(raw))
+        old, n = len(self) - len(hashes), len(self)
+        if n > len(self.term):
+            self.term, self.more = np.resize(self.term, 2 * n), np.resize(self.more, 2 * n)
+        at = np.searchsorted(self.keys, hashes).clip(max=max(0, len(self.keys) - 1))
+        self.term[old:n] = np.where(self.keys[at] == hashes, self.terms[at], np.nan) if len(self.keys) else np.nan
+        self.more[old:n] = by_text(self.ids.more.take(raw), size)
 
     def trim(self) -> None:
         if len(self) > CACHED:
@@ -445,15 +529,11 @@ def by_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_scores(p: dict, ids: Ids, encode, texts: list[list[bytes]]) -> np.ndarray:
+def text_scores(p: dict, known: Known, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
-    raw = [subwords(encode, words) for words in texts]
-    sizes = np.array(list(map(len, raw)), np.int64)
-    raw = np.concatenate(raw)
-    own = ids.table.take(raw)
-    x, y = layout(own, sizes, ids.end)
-    said = by_text(score_rows(p, x, y), sizes + 1) / np.log(10)
-    return said + by_text(ids.more.take(raw), sizes) if (own == OTHER).any() else said
+    own, n = known.subwords(places, sizes)
+    x, y = layout(own, n, known.ids.end)
+    return by_text(score_rows(p, x, y), n + 1) / np.log(10) + by_text(known.more[places], sizes)
 
 
 def _score(path: str, ids: Ids, p: dict, head: dict[int, int], n: int, v: int) -> Callable:
@@ -461,9 +541,11 @@ def _score(path: str, ids: Ids, p: dict, head: dict[int, int], n: int, v: int) -
     term = lambda c: float(np.log10((c + 0.5) / below))
     names = ["doc_id", "held_out", "place", "n_tokens", "had", "base", "rare", "often", "score"]
 
-    def part(known: Known, encode, b: pa.RecordBatch, texts: list[list[bytes]], count: int) -> pa.RecordBatch:
-        end, sizes = head.get(END_WORD, 0), np.array(list(map(len, texts)), np.int64)
-        places = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+    end, keys = head.get(END_WORD, 0), np.array(sorted(head), np.int64)
+    terms = np.log10((np.array([head[k] for k in keys.tolist()], np.float64) + 0.5) / below)
+
+    def part(known: Known, b: pa.RecordBatch, texts: list[list[bytes]], count: int) -> pa.RecordBatch:
+        places, sizes = known.places(texts)
         terms = known.term[places]
         rare = np.isnan(terms)
         base = term(end) + by_text(np.where(rare, 0.0, terms), sizes)
@@ -476,21 +558,16 @@ def _score(path: str, ids: Ids, p: dict, head: dict[int, int], n: int, v: int) -
         often = np.diff(np.r_[head_of, pair.shape[1]])
         cuts = pa.array(np.searchsorted(pair[0, head_of], np.arange(len(texts) + 1)), pa.int32())
         lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int64))) for x in (pair[1, head_of], often)]
-        columns = [pa.array(count + np.arange(len(texts))), pa.array(sizes + 1), pa.array(had), pa.array(base), *lists, pa.array(text_scores(p, ids, encode, texts))]
+        columns = [pa.array(count + np.arange(len(texts))), pa.array(sizes + 1), pa.array(had), pa.array(base), *lists, pa.array(text_scores(p, known, places, sizes))]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, encode, count = Known(head, term), encoder(path), TaskContext.get().partitionId() << 40
+        known, count = Known(encoder(path), ids, keys, terms), TaskContext.get().partitionId() << 40
         for b in batches:
-            texts, first, size = [], 0, 0
-            for i, t in enumerate(b.column(2).to_pylist()):
-                texts.append(words_of(t))
-                size += len(texts[-1])
-                if size > GROUP or i == b.num_rows - 1:  # one long text or many short ones
-                    known.trim()
-                    yield part(known, encode, b.slice(first, len(texts)), texts, count)
-                    count += len(texts)
-                    texts, first, size = [], i + 1, 0
+            for first, texts in groups_of(b.column(2)):
+                known.trim()
+                yield part(known, b.slice(first, len(texts)), texts, count)
+                count += len(texts)
 
     return run
 
